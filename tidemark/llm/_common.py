@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters that Unicode calls white space (fixed values).
-UNICODE_SPACE = "\t\n\x0b\x0c\r \x85\xa0                　"
+UNICODE_SPACE = "\t\n\x0b\x0c\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 #: ``str.split()`` also splits at these four, which are no white space in Unicode.
 _SPLIT_ONLY = ("\x1c", "\x1d", "\x1e", "\x1f")
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import quality, secrets_scan, toxicity
+from tidemark.llm import decontaminate, line_dedup, packing, quality, secrets_scan, toxicity
 from tidemark.llm._common import held_out
 
 
@@ -19,6 +19,32 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_scan.secret_digests(secrets_scan.scan_secrets(_table(spark, sf_dir, "documents")))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.piece_digests(packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: whether it overlaps the benchmark, with which items, and the longest overlap."""
+    found = decontaminate.with_overlaps(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+    items = F.array_sort(F.array_distinct(F.transform("overlaps", lambda x: x["item_id"])))
+    return found.select(
+        "doc_id",
+        (F.size("overlaps") > 0).alias("contaminated"),
+        F.size("overlaps").cast("bigint").alias("n_overlaps"),
+        F.array_join(items.cast("array<string>"), ",").alias("item_ids"),
+        F.coalesce(F.array_max(F.transform("overlaps", lambda x: x["equal"])), F.lit(0)).cast("bigint").alias("most_equal"),
+    )
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: how many lines went, and the digest of what stays."""
+    kept = line_dedup.drop_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    text = F.coalesce("text", F.lit(""))
+    return kept.select("doc_id", "n_dropped", F.length(text).cast("bigint").alias("n_chars_kept"), F.sha2(text.cast("binary"), 256).alias("kept_sha256"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     out = held_out("doc_id", 4, 2)
@@ -37,6 +63,9 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
+    "op3_packing": op3_packing,
+    "op6_decontamination": op6_decontamination,
+    "op7_line_dedup": op7_line_dedup,
     "op8_toxicity": op8_toxicity,
     "op9_quality": op9_quality,
 }
