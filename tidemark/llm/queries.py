@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, line_dedup, near_dedup, packing, quality, secrets_scan, toxicity
+from tidemark.llm import decontaminate, fingerprint, line_dedup, near_dedup, packing, quality, secrets_scan, toxicity
 from tidemark.llm._common import held_out
 
 
@@ -30,6 +30,10 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
+def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprint_with_edits(_table(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: whether it overlaps the benchmark, with which items, and the longest overlap."""
     found = decontaminate.with_overlaps(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op3_packing": op3_packing,
     "op4_near_dedup": op4_near_dedup,
+    "op5_fingerprint": op5_fingerprint,
     "op6_decontamination": op6_decontamination,
     "op7_line_dedup": op7_line_dedup,
     "op8_toxicity": op8_toxicity,
