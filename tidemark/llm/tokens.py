@@ -3,17 +3,26 @@
 from __future__ import annotations
 
 import re
-
-import numpy as np
+import struct
+from itertools import islice
 
 from tidemark.llm._common import UNICODE_SPACE, split_words
 
 #: Words remembered by a Python worker, for each tokenizer, at most.
-WORDS_HELD = 300_000
+WORDS_HELD = 800_000
 
 #: A byte-level vocabulary keeps white space: one space goes with the word after it, the rest stands alone.
+#: Its blank is written Ġ, as in all byte-level vocabularies (fixed value).
+_BLANK = chr(288)
 _SPACED = re.compile(f" ?[^{UNICODE_SPACE}]+|[{UNICODE_SPACE}]+(?![^{UNICODE_SPACE}])|[{UNICODE_SPACE}]+")
 
+#: How both vocabularies cut a piece of printable ASCII (fixed values); the second lower-cases it and takes digits one by one.
+_PLAIN = re.compile(r"[!-~]+| [!-~]+")
+_PLAIN_CUTS = {
+    True: re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+"),
+    False: re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+"),
+}
+
 
 class WordEncoder:
     """The ids that ``tokenizers`` gives a text, as little-endian uint32 bytes.
@@ -21,8 +30,8 @@ class WordEncoder:
     No token of these tokenizers crosses the cuts used here (``keeps_space``:
     before the space that leads a word, and around other white space;
     otherwise: at white space, which is dropped), so a text's ids are those of
-    its pieces in turn, and each distinct piece is encoded once.  Strings of
-    special tokens within a text are ordinary text.
+    its pieces in turn, and a piece is encoded when it is first met.  Strings
+    of special tokens within a text are ordinary text.
     """
 
     def __init__(self, path: str, keeps_space: bool):
@@ -31,6 +40,8 @@ class WordEncoder:
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
         self._pieces = _SPACED.findall if keeps_space else split_words
+        self._model = self._tokenizer.model
+        self._keeps_space, self._cut = keeps_space, _PLAIN_CUTS[keeps_space].findall
         self._held: dict[str, bytes] = {}
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
@@ -45,12 +56,27 @@ class WordEncoder:
         return out
 
     def _learn(self, pieces: list[str]) -> None:
-        new = [p for p in set(pieces) if p not in self._held]
-        if len(self._held) + len(new) > WORDS_HELD:
-            self._held.clear()
-            new = list(set(pieces))
-        for piece, found in zip(new, self._tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self._held[piece] = np.array(found.ids, "<u4").tobytes()
+        held = self._held
+        if len(held) > WORDS_HELD:  # those learned first go; what is common among them comes back soon
+            for piece in list(islice(held, WORDS_HELD // 2)):
+                del held[piece]
+        rest = []
+        for piece in set(pieces).difference(held):
+            if _PLAIN.fullmatch(piece):
+                held[piece] = self._plain(piece)
+            else:
+                rest.append(piece)
+        for piece, found in zip(rest, self._tokenizer.encode_batch(rest, add_special_tokens=False), strict=True):
+            held[piece] = _packed(found.ids)
+
+    def _plain(self, piece: str) -> bytes:
+        """Straight to the tokenizer's model, without the offsets that its encodings carry."""
+        piece = piece if self._keeps_space else piece.lower()
+        return _packed([t.id for part in self._cut(piece) for t in self._model.tokenize(part.replace(" ", _BLANK))])
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 _ENCODERS: dict[tuple[str, bool], WordEncoder] = {}
