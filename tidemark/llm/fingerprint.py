@@ -18,15 +18,22 @@ from pyspark.sql import functions as F
 from tidemark.llm._common import whole_text
 
 SAMPLES = 64
+#: Samples of one aggregation; the code for all at once would be too long for the JVM to compile.
+AT_ONCE = 32
 #: Hex digits that a sample has in the fingerprint.
 DIGITS = 4
 #: Documents of a block, which a task handles together; blocks at most (they grow beyond).
 BLOCK, MOST_BLOCKS = 200, 1 << 16
 #: Quantiles in the Gamma table.
-_STEPS = 1 << 10
+_STEPS = 1 << 8
 _LOWEST = -(1 << 63)
 
 
+def _array(values: list, kind: str) -> Column:
+    """A literal array in one small expression, which the optimizer folds; a literal for each element would swell every plan that holds it."""
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")
+
+
 def gamma_quantiles() -> list[float]:
     """The middle quantiles of Gamma(2, 1), by bisection of ``1 - exp(-x) (1 + x)``."""
     out = []
@@ -39,11 +46,15 @@ def gamma_quantiles() -> list[float]:
     return out
 
 
-def _sample(i: int, term: Column, log_weight: Column, r_table: Column, c_table: Column) -> Column:
-    """The value of sample ``i`` above 20 bits of the term's hash and t, as one long, so that a minimum picks both."""
-    h = F.xxhash64(F.lit(i), term)
+def _sample(i: int, part: Column, term: Column, log_weight: Column, r_table: Column, c_table: Column) -> Column:
+    """The value of sample ``i`` of a part above 20 bits of the term's hash and t, as one long, so that a minimum picks both.
+
+    Null where the weight is; there is no condition, as the hash and t, which
+    occur several times, are then computed once.
+    """
+    h = F.xxhash64(F.lit(i), part, term)
     r = F.get(r_table, h.bitwiseAND(F.lit(_STEPS - 1)).cast("int"))
-    log_c = F.get(c_table, F.shiftrightunsigned(h, 10).bitwiseAND(F.lit(_STEPS - 1)).cast("int"))
+    log_c = F.get(c_table, F.shiftrightunsigned(h, 8).bitwiseAND(F.lit(_STEPS - 1)).cast("int"))
     b = F.shiftrightunsigned(h, 40) / F.lit(float(1 << 24))
     t = F.floor(log_weight / r + b)
     value = log_c - r * (t - b) - r
@@ -60,6 +71,10 @@ def _fingerprint(columns: list[str]) -> Column:
     return F.lower(F.coalesce(F.concat(*cells), F.lit("")))
 
 
+def _both_parts(side: int) -> Column:
+    return F.concat(*(F.max(F.when((F.col("side") == side) & (F.col("part") == k), F.col("print"))) for k in range(SAMPLES // AT_ONCE)))
+
+
 def likeness(one: Column, two: Column) -> Column:
     """The share of samples in which two fingerprints agree; 1 for two empty ones, 0 where one is empty."""
     at = F.sequence(F.lit(0), F.lit(SAMPLES - 1))
@@ -76,10 +91,10 @@ def _with_blocks(read: DataFrame) -> DataFrame:
     n = read.count()
     blocks = max(1, min(MOST_BLOCKS, n // BLOCK))
     shares = [i / blocks for i in range(blocks)]
-    begins = sorted(set(read.agg(F.percentile_approx("key", shares, 4 * blocks + 10000)).head()[0] or [_LOWEST]))
+    begins = sorted(set(read.agg(F.percentile_approx("key", _array(shares, "double"), 4 * blocks + 10000)).head()[0] or [_LOWEST]))
     begins[0] = _LOWEST
     bits = F.array(*[F.lit(1 << k) for k in reversed(range(len(begins).bit_length()))])
-    starts = F.lit(begins)
+    starts = _array(begins, "bigint")
     # A binary search for the last begin that isn't beyond the key.
     number = F.aggregate(bits, F.lit(0), lambda at, step: F.when((at + step < len(begins)) & (F.get(starts, F.least(at + step, F.lit(len(begins) - 1))) <= F.col("key")), at + step).otherwise(at))
     placed = read.withColumn("block", number)
@@ -121,23 +136,24 @@ def fingerprint_with_edits(docs: DataFrame) -> DataFrame:
     sides = F.explode(F.when(F.col("ghost"), F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("body")))).otherwise(F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("body")), F.struct(F.lit(1).alias("side"), F.col("edited").alias("body")))))
     bodies = rows.select("block", "rid", "ghost", "doc_id", "n", sides.alias("b")).select("block", "rid", "ghost", "doc_id", "n", "b.side", "b.body")
     # What belongs to the row itself travels with one extra element that is no word, in longs, so that all aggregates stay in fixed-width buffers.
-    sha = F.sha2(F.col("body").cast("binary"), 256)
-    own = {f"m{k}": F.conv(F.substring(sha, 15 * k + 1, 15), 16, 10).cast("bigint") for k in range(5)} | {"m5": F.col("n").cast("bigint"), "m6": F.col("doc_id"), "m7": F.col("ghost").cast("bigint")}
-    each = bodies.select("block", "rid", "side", F.struct(*(c.alias(k) for k, c in own.items())).alias("own"), F.explode(F.concat(F.array(F.lit(None).cast("string")), _words(F.col("body")))).alias("word"))
-    each = each.select("block", "rid", "side", F.when(F.col("word") != "", F.xxhash64("word")).alias("term"), *(F.when(F.col("word").isNull(), F.col(f"own.{k}")).alias(k) for k in own))
+    bodies = bodies.withColumn("sha", F.sha2(F.col("body").cast("binary"), 256))
+    each = bodies.select("block", "rid", "side", "ghost", "doc_id", "n", "sha", F.explode(F.concat(F.array(F.lit(None).cast("string")), _words(F.col("body")))).alias("word"))
+    own = {f"m{k}": F.conv(F.substring("sha", 15 * k + 1, 15), 16, 10).cast("bigint") for k in range(5)} | {"m5": F.col("n").cast("bigint"), "m6": F.col("doc_id"), "m7": F.col("ghost").cast("bigint")}
+    each = each.select("block", "rid", "side", F.when(F.col("word") != "", F.xxhash64("word")).alias("term"), *(F.when(F.col("word").isNull(), c).alias(k) for k, c in own.items()))
     counted = each.groupBy("block", "rid", "side", "term").agg(F.count("*").alias("weight"), *(F.max(k).alias(k) for k in own))
     quantiles = gamma_quantiles()
-    r_table, c_table = F.lit(quantiles), F.lit([math.log(x) for x in quantiles])
+    r_table, c_table = _array(quantiles, "double"), _array([math.log(x) for x in quantiles], "double")
     logged = counted.withColumn("lw", F.when(F.col("term").isNotNull(), F.log(F.col("weight").cast("double"))))
-    samples = [F.min(F.when(F.col("term").isNotNull(), _sample(i, F.col("term"), F.col("lw"), r_table, c_table))).alias(f"s{i}") for i in range(SAMPLES)]
-    drawn = logged.groupBy("block", "rid", "side").agg(*samples, *(F.max(k).alias(k) for k in own))
+    parts = logged.withColumn("part", F.explode(F.array(*map(F.lit, range(SAMPLES // AT_ONCE)))))
+    samples = [F.min(_sample(i, F.col("part"), F.col("term"), F.col("lw"), r_table, c_table)).alias(f"s{i}") for i in range(AT_ONCE)]
+    drawn = parts.groupBy("block", "rid", "side", "part").agg(*samples, *(F.max(k).alias(k) for k in own))
     digest = F.concat(*(F.lpad(F.lower(F.hex(f"m{k}")), 15 if k < 4 else 4, "0") for k in range(5)))
-    prints = drawn.select("block", "rid", "side", _fingerprint([f"s{i}" for i in range(SAMPLES)]).alias("print"), digest.alias("sha"), "m5", "m6", "m7")
+    prints = drawn.select("block", "rid", "side", "part", _fingerprint([f"s{i}" for i in range(AT_ONCE)]).alias("print"), digest.alias("sha"), "m5", "m6", "m7")
     both = prints.groupBy("block", "rid").agg(
         F.max("m6").alias("doc_id"), F.max("m5").alias("n_chars"), F.max("m7").alias("ghost"),
         F.max(F.when(F.col("side") == 1, F.col("sha"))).alias("edited_sha256"),
-        F.max(F.when(F.col("side") == 0, F.col("print"))).alias("fingerprint"),
-        F.max(F.when(F.col("side") == 1, F.col("print"))).alias("edited_fingerprint"),
+        _both_parts(0).alias("fingerprint"),
+        _both_parts(1).alias("edited_fingerprint"),
     )
     near = both.withColumn("next", F.lead("fingerprint").over(Window.partitionBy("block").orderBy("rid"))).where("ghost = 0")
     return near.select(
