@@ -59,7 +59,7 @@ def substring_hashes(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -
     return mix((prefix[ends] - prefix[starts]) * powers(len(prefix))[1][starts] + (ends - starts).astype(np.uint64))
 
 
-def text_chunks(texts: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_chunks(texts: pa.Array, limit: int = 1 << 17) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """``(first row, last row + 1, bytes, offsets)`` of runs of rows of about ``limit`` bytes; a longer text is a run of its own."""
     texts = texts.cast(pa.large_binary())
     n = len(texts)

@@ -28,7 +28,7 @@ LENGTH, ANCHOR = 200, 32
 #: Different surroundings of one anchor that a task sorts together; those of a more common one are compared string by string, spread over the cluster.
 GROUP_LIMIT = 20_000
 #: Bytes that are sorted together.
-SORT_BYTES = 8 << 20
+SORT_BYTES = 2 << 20
 
 _RUN = "h1 bigint, h2 bigint, low int, high int"
 _SEGMENT = "k bigint, c bigint, h1 bigint, h2 bigint, low int, high int, at int, single boolean, body binary"
@@ -282,17 +282,20 @@ def covered(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    types = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())]
     for batch in batches:
-        kept, spans, sizes = [], [], []
-        for text, runs in zip(batch.column("text"), batch.column("runs").to_pylist(), strict=True):
+        rows, size = [], 0
+        for doc_id, text, runs in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("runs"), strict=True):
             raw = text.as_py().encode()
-            gone = covered([(r["low"], r["high"]) for r in runs or ()])
+            gone = covered([(r["low"], r["high"]) for r in runs.as_py() or ()])
             edges = [0, *(x for g in gone for x in g), len(raw)]
-            kept.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)) if gone else raw)
-            spans.append([{"start": a, "end": b} for a, b in gone])
-            sizes.append(len(raw))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
+            kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)) if gone else raw
+            rows.append((doc_id, len(raw), [{"start": a, "end": b} for a, b in gone], kept))
+            size += len(raw)
+            if size > SORT_BYTES:
+                yield _batch(rows, types)
+                rows, size = [], 0
+        yield _batch(rows, types)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
