@@ -74,6 +74,12 @@ def test_edges_of_the_contract(spark, docs):
     assert near_components(made.limit(0)).count() == drop_near_copies(made.limit(0)).count() == 0
 
 
+def test_rows_with_one_id_share_their_links(spark, docs):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(90))
+    rows = [(5, a), (5, b), (6, a), (7, b), (8, a + " x"), (9, b + " y")]
+    assert {r.doc_id: r.component_id for r in near_components(docs(*rows)).collect()} == dict.fromkeys(range(5, 10), 5)
+
+
 def test_connected_components(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(100, 160)] + [(rng.randrange(90), rng.randrange(90)) for _ in range(50)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zlib
@@ -36,14 +37,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, free: bool = False) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     It cuts the lineage (a lost executor costs no recomputation) and fixes the
     values of row ids, which may differ from run to run of the same plan.
+    ``free``: the shuffle files of finished steps go now, and not whenever the
+    driver happens to collect its garbage; nothing needs them any more.
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
+    if free:
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -24,6 +24,8 @@ from tidemark.llm._common import materialize, whole_text
 from tidemark.llm.hashing import BASE, mix, shingles, text_chunks, words
 
 GROUPS, HASHES = 16, 4
+#: How many times more centres an entry has in each round.
+MORE = 16
 _FACTORS = np.random.default_rng(4041).integers(0, 1 << 63, (2, GROUPS, HASHES), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 SIGNATURE_SCHEMA = "doc_id bigint, n_shingles bigint, digest binary, first array<bigint>, second array<bigint>"
@@ -143,13 +145,19 @@ def near_components(docs: DataFrame, percent: int = 85) -> DataFrame:
     known = signed.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     # Equal sets are one node from here on, named by its smallest doc_id.
     nodes = materialize(known.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("first").alias("first"), F.first("second").alias("second")), "nodes")
-    groups = nodes.select("node", F.posexplode("first").alias("g", "one"), "second")
-    shared = groups.groupBy("g", "one").agg(F.count("*").alias("c")).where("c > 1").select("g", "one")
-    tables = groups.join(shared, ["g", "one"]).select("node", F.col("one"), F.explode("second").alias("two")).select("node", F.xxhash64("one", "two").alias("key"))
-    repeated = tables.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    members = materialize(tables.join(repeated, "key").withColumn("label", F.col("node")), "tables")
-
-    labels = materialize(_settle(spark, texts, nodes.select("node", "n"), members, percent), "labels")
+    # Only nodes that share a group of either collection with another can share a table entry.
+    groups = [nodes.select("node", F.posexplode(side).alias("g", "key")) for side in ("first", "second")]
+    shared = [_repeated(g, ["g", "key"]) for g in groups]
+    active = materialize(shared[0].select("node").distinct().join(shared[1].select("node").distinct(), "node"), "active", free=True)
+    # Their texts are fetched once and used in every round.
+    held = materialize(texts.join(active.withColumnRenamed("node", "doc_id"), "doc_id").withColumnRenamed("doc_id", "node"), "texts", free=True)
+    hopeful = materialize(_sharable(active, held, nodes.select("node", "n"), percent), "sharable", free=True)
+    left = materialize(nodes.select("node", "first", "second").join(hopeful, "node"), "hopeful")
+    firsts = _repeated(left.select("node", "n", "most", "second", F.posexplode("first").alias("g", "one")), ["g", "one"])
+    tables = firsts.select("node", "n", "most", "one", F.explode("second").alias("two")).select("node", "n", "most", F.xxhash64("one", "two").alias("key"))
+    members = materialize(_repeated(tables, ["key"]).withColumn("label", F.col("node")), "tables", free=True)
+
+    labels = materialize(_settle(spark, held, left, members, percent), "labels")
     named = nodes.select("digest", "node").join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("component_id"))
     rows = signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("digest")).alias("digest"))
     out = rows.join(named, "digest", "left")
@@ -157,40 +165,83 @@ def near_components(docs: DataFrame, percent: int = 85) -> DataFrame:
     return ids
 
 
-def _settle(spark, texts: DataFrame, sizes: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct shingles by half their hash: where two meet in one value, they count as shared, which is the safe side."""
+    for batch in batches:
+        node = batch.column("node").to_numpy()
+        for first, last, data, offsets in text_chunks(batch.column("text")):
+            hashes, _, bounds = words(data, offsets)
+            made, begins = shingles(hashes, bounds)
+            sets = [np.unique(made[begins[i] : begins[i + 1]]) for i in range(last - first)]
+            half = (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(node[first:last], [len(x) for x in sets])), pa.array(half)], names=["node", "shingle"])
+
+
+def _repeated(rows: DataFrame, key: list[str]) -> DataFrame:
+    """The rows whose key others have, too."""
+    return rows.join(rows.groupBy(*key).agg(F.count("*").alias("__c")).where("__c > 1").select(*key), key, "left_semi")
+
+
+def _sharable(inside: DataFrame, held: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """``node``, ``n`` and ``most``, how many shingles a node has that another one holds, too.
+
+    Two sets share no more than the smaller ``most``, so pairs and nodes that
+    can't link fall out without a comparison: in a large group of copies, those
+    that were edited too much.
+    """
+    each = held.mapInArrow(_shingle_rows, "node bigint, shingle int")
+    lone = each.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("last")).where("node = last")
+    # Of rows with one id each may have a text of its own; they keep their size as the bound.
+    several = held.groupBy("node").agg(F.count("*").alias("c")).where("c > 1").select("node")
+    missing = lone.join(several, "node", "left_anti").groupBy("node").agg(F.count("*").alias("lone"))
+    known = sizes.join(inside, "node").join(missing, "node", "left").select("node", "n", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("most"))
+    return known.where(F.col("most") * 100 >= F.col("n") * percent)
+
+
+def _settle(spark, held: DataFrame, nodes: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """``node`` and ``label`` of the nodes that have links.
 
-    ``members``: node, key, label (of its component so far).  Each round takes
-    centres from every entry that spans several components (one at first, then
-    four times as many each round), compares them with the entry's members in
-    other components, and takes them out: all that could link them here is
-    known then.
+    ``held``: node, text; ``nodes``: node, n, most, first, second; ``members``
+    of table entries: node, key, n, most, label (of its component so far).
+    Each round takes centres from every entry that spans several components,
+    compares them with the entry's members in other components, and takes them
+    out: all that could link them here is known then.  The first centre is the
+    member that shares most of its shingles, in a group of edited copies the
+    one that was edited least; from the second round on there are more,
+    ``MORE`` times as many each round.
+
+    From the second round on, the sixteen entries that have a group of the
+    first collection in common are one: a pair is taken where this is the
+    first group that the two have in common, if they also have one of the
+    second in common, and so once, and not once for each entry.
     """
     labels = _nothing(spark, "node bigint, label bigint")
     tested = _nothing(spark, "a bigint, b bigint")
-    active = members.select("node").distinct()
-    # The texts of documents that share an entry with another: fetched once, used in every round.
-    held = materialize(texts.join(active.withColumnRenamed("node", "doc_id"), "doc_id").withColumnRenamed("doc_id", "node"), "texts")
     centres, round_ = 1, 0
     while True:
         rank = F.xxhash64("node", F.lit(round_))
-        entries = members.groupBy("key").agg(F.min(F.struct(rank.alias("r"), "node")).alias("c"), F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
-        mixed = entries.where("low < high").select("key", F.col("c.node").alias("centre"), "n")
-        chosen = (F.col("node") == F.col("centre")) | (F.pmod(rank, F.col("n")) < (centres if centres > 1 else 0))
-        members = materialize(members.join(mixed, "key").select("key", "node", "label", chosen.alias("is_centre")), "tables")
+        entries = members.groupBy("key").agg(F.min(F.struct((F.col("n") - F.col("most")).alias("lone"), rank.alias("r"), "node")).alias("c"), F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high"))
+        mixed = entries.where("low < high").select("key", F.col("c.node").alias("centre"), "size")
+        chosen = (F.col("node") == F.col("centre")) | (F.pmod(rank, F.col("size")) < (centres if centres > 1 else 0))
+        members = materialize(members.join(mixed, "key").withColumn("is_centre", chosen).drop("centre", "size"), "tables", free=True)
         if members.isEmpty():
             return labels
-        picked = members.where("is_centre").select("key", F.col("node").alias("centre"), F.col("label").alias("centre_label"))
-        pairs = members.join(picked, "key").where("label <> centre_label").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
+        names = {c: f"centre_{c}" for c in members.columns if c not in ("key", "is_centre", "g")}
+        picked = members.where("is_centre").drop("is_centre", "g").withColumnsRenamed(names)
+        # 100 x shared >= percent x union, with shared at most what either can share.
+        likely = F.least("most", "centre_most") * (100 + percent) >= (F.col("n") + F.col("centre_n")) * percent
+        wanted = (F.col("label") != F.col("centre_label")) & likely
+        if round_:
+            wanted &= _equal_groups("first", "centre_first").bitwiseAND(F.expr("shiftleft(2, g) - 1")) == F.expr("shiftleft(1, g)")
+            wanted &= _equal_groups("second", "centre_second") != 0
+        pairs = members.join(picked, "key").where(wanted).select(F.col("node").alias("a"), F.col("centre_node").alias("b"))
         # Of (x, y) and (y, x), which two centres make, one is enough.
-        pairs = pairs.groupBy(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.max(F.struct("b", "a")).alias("p")).select("p.a", "p.b")
-        near = sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), sizes.select(F.col("node").alias("b"), F.col("n").alias("nb"))
-        pairs = pairs.join(near[0], "a").join(near[1], "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).select("a", "b")
-        fresh = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        pairs = pairs.groupBy(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.max(F.struct("b", "a")).alias("p")).select("lo", "hi", "p.a", "p.b")
+        fresh = materialize(pairs.join(tested.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")), ["lo", "hi"], "left_anti").select("a", "b"), "pairs")
         tested = tested.unionByName(fresh)
         left = fresh.join(held.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
         full = left.join(held.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
-        links = materialize(full.mapInArrow(_confirmer(percent), "a bigint, b bigint"), "links")
+        links = materialize(full.mapInArrow(_confirmer(percent), "a bigint, b bigint"), "links", free=True)
         members = members.where("not is_centre").drop("is_centre")
         if not links.isEmpty():
             named = links.join(_old(labels, "a"), "a", "left").join(_old(labels, "b"), "b", "left")
@@ -199,8 +250,27 @@ def _settle(spark, texts: DataFrame, sizes: DataFrame, members: DataFrame, perce
             # A component's label is itself a node, which may have had no row so far.
             was = labels.select("node", F.col("label").alias("old")).unionByName(moved.select("node", F.col("node").alias("old"))).distinct()
             labels = materialize(was.join(moved.select(F.col("node").alias("old"), F.col("label").alias("new")), "old", "left").groupBy("node").agg(F.min(F.coalesce("new", "old")).alias("label")), "labels")
-            members = members.drop("label").join(labels, "node", "left").select("node", "key", F.coalesce("label", "node").alias("label"))
-        centres, round_ = centres * 4, round_ + 1
+            members = _labelled(members.drop("label"), labels)
+        if not round_:
+            spans = members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+            open_ = members.join(spans, "key", "left_semi").select("node").distinct()
+            # Entries that this leaves out lie within one component, and the first centres have met all others in theirs.
+            rows = nodes.join(open_, "node").select("node", "n", "most", "first", "second", F.posexplode("first").alias("g", "one"))
+            members = _labelled(rows.select("node", "n", "most", "first", "second", "g", F.xxhash64("g", "one").alias("key")), labels)
+        centres, round_ = centres * MORE, round_ + 1
+
+
+def _equal_groups(one: str, two: str):
+    """A bit for each place in which two arrays of group keys agree."""
+    bits = [F.when(F.get(one, F.lit(k)) == F.get(two, F.lit(k)), F.lit(1 << k)).otherwise(F.lit(0)) for k in range(GROUPS)]
+    out = bits[0]
+    for b in bits[1:]:
+        out = out.bitwiseOR(b)
+    return out
+
+
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    return rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
 def _old(labels: DataFrame, side: str) -> DataFrame:
