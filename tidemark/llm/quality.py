@@ -19,11 +19,22 @@ from tidemark.llm._common import bucket, split_words, training_rows, whole_text
 
 #: Buckets of the embedding table, and the lengths of character n-grams.
 MASK, GRAMS = (1 << 15) - 1, (1, 2, 3)
-WORDS_HELD = 300_000
+#: Words remembered by a Python worker at most.
+WORDS_HELD = 800_000
+#: What stands for a word that repeats the one before it; no split text holds it.
+AGAIN = " "
+
+
+def text_words(text: str) -> list[str]:
+    """The text's words, with ``AGAIN`` for those that repeat the one before."""
+    found = split_words(text)
+    return found[:1] + [AGAIN if word == before else word for before, word in zip(found, found[1:], strict=False)]
 
 
 def word_buckets(word: str) -> list[int]:
-    """Buckets of a word and of its n-grams with marked ends, repeats included; letter case counts."""
+    """Buckets of a word and of its n-grams with marked ends, repeats included; letter case counts. ``AGAIN`` has one of its own."""
+    if word == AGAIN:
+        return [bucket(word, MASK)]
     marked = f"\x02{word}\x03"
     return [bucket(marked, MASK), *(bucket(marked[i : i + n], MASK) for n in GRAMS for i in range(len(marked) - n + 1))]
 
@@ -33,7 +44,7 @@ def _buckets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, counts = [], []
         for text in batch.column("text").to_pylist():
             seen: Counter[int] = Counter()
-            for word, n in Counter(split_words(text)).items():
+            for word, n in Counter(text_words(text)).items():
                 for b in word_buckets(word):
                     seen[b] += n
             keys = sorted(seen)
@@ -100,7 +111,7 @@ def _scorer(model: SubwordClassifier):
             return found
 
         for batch in batches:
-            totals = [sum(map(of, split_words(t)), 0j) for t in batch.column("text").to_pylist()]
+            totals = [sum(map(of, text_words(t)), 0j) for t in batch.column("text").to_pylist()]
             z = np.array([t.real / t.imag if t.imag else 0.0 for t in totals], "f8") + bias
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], names=["doc_id", "score"])
 

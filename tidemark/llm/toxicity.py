@@ -19,30 +19,38 @@ from pyspark.sql import functions as F
 from tidemark.llm._common import bucket, training_rows, whole_text
 
 _WORD = re.compile(r"[^\W\d_]+")
-#: Hash space of the terms, and the lengths of character n-grams.
-MASK, GRAMS = (1 << 20) - 1, (3, 4, 5)
+#: Hash space of the terms, the lengths of character n-grams, and those of word beginnings.
+MASK, GRAMS, BEGINNINGS = (1 << 20) - 1, (3, 4, 5), (6, 7, 8, 9)
+#: What turns a term into that of "in two words at least".
+TWICE = 0x5BD1E
 #: Words remembered by a Python worker at most.
-WORDS_HELD = 300_000
+WORDS_HELD = 800_000
 
 
 def word_terms(word: str) -> set[int]:
-    """Hashes of a word and of its n-grams with marked ends."""
+    """Hashes of a word, of its beginnings and of its n-grams, with marked ends."""
     marked = f"<{word}>"
-    terms = {bucket(marked, MASK)}
+    terms = {bucket(marked, MASK), *(bucket(marked[: n + 1], MASK) for n in BEGINNINGS if len(word) > n)}
     for n in GRAMS:
         terms.update(bucket(marked[i : i + n], MASK) for i in range(len(marked) - n + 1))
     return terms
 
 
+def text_terms(text: str) -> set[int]:
+    """Hashes of what stands in any of the text's words, and of what stands in two different ones at least."""
+    once: set[int] = set()
+    twice: set[int] = set()
+    for word in set(_WORD.findall(text.lower())):
+        terms = word_terms(word)
+        twice |= once & terms
+        once |= terms
+    return once | {t ^ TWICE for t in twice}
+
+
 def _terms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(label, the document's distinct term hashes as little-endian int32)."""
     for batch in batches:
-        out = []
-        for text in batch.column("text").to_pylist():
-            terms: set[int] = set()
-            for word in set(_WORD.findall(text.lower())):
-                terms |= word_terms(word)
-            out.append(np.fromiter(terms, "<i4", len(terms)).tobytes())
+        out = [np.fromiter(t := text_terms(text), "<i4", len(t)).tobytes() for text in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(out, pa.binary())], names=["label", "terms"])
 
 
@@ -61,8 +69,12 @@ class FactorizationMachine:
         return float(self.bias + self.weights[rows].sum() + 0.5 * ((total * total).sum() - (v * v).sum()))
 
     @classmethod
-    def fit(cls, docs: list[np.ndarray], labels: np.ndarray, prior: float, n_terms: int = 4096, rank: int = 4, epochs: int = 60, rate: float = 0.1, decay: float = 1e-4, seed: int = 7) -> FactorizationMachine:
-        """Logistic loss, Adagrad over the whole sample, after keeping the ``n_terms`` terms with the largest chi-square against the label."""
+    def fit(cls, docs: list[np.ndarray], labels: np.ndarray, prior: float, n_terms: int = 4096, rank: int = 4, epochs: int = 200, rate: float = 0.1, decay: float = 1e-4, seed: int = 7, least_chi: float = 3.84, scale: float = 0.01) -> FactorizationMachine:
+        """Logistic loss, Adagrad over the whole sample, after keeping the ``n_terms`` terms with the largest chi-square against the label.
+
+        ``least_chi``: what a term must exceed (3.84 is the 5 % level of one
+        degree of freedom); ``scale``: spread of the latent vectors at first.
+        """
         none = cls(np.zeros(0, "i4"), np.zeros(0), np.zeros((0, rank)), float(np.log(prior / (1 - prior))))
         pos, neg = int(labels.sum()), int((1 - labels).sum())
         if not pos or not neg:
@@ -76,7 +88,7 @@ class FactorizationMachine:
             chi = n * (in_pos * (neg - in_neg) - in_neg * (pos - in_pos)) ** 2.0 / (seen * (n - seen) * float(pos) * neg)
         chi = np.where(seen >= 2, np.nan_to_num(chi, nan=0.0, posinf=0.0), 0.0)
         terms = np.sort(np.argsort(-chi, kind="stable")[:n_terms])
-        terms = terms[chi[terms] > 3.84].astype("i4")  # 5 % level of one degree of freedom
+        terms = terms[(chi[terms] > least_chi) & (seen[terms] >= 2)].astype("i4")
         if not len(terms):
             return none
         at = np.full(MASK + 1, -1, "i4")
@@ -84,7 +96,7 @@ class FactorizationMachine:
         cols = at[flat]
         rows, cols = which[cols >= 0], cols[cols >= 0]
         rng = np.random.default_rng(seed)
-        w, v, b = np.zeros(len(terms)), rng.normal(0, 0.01, (len(terms), rank)), 0.0
+        w, v, b = np.zeros(len(terms)), rng.normal(0, scale, (len(terms), rank)), 0.0
         gw, gv, gb = np.full_like(w, 1e-8), np.full_like(v, 1e-8), 1e-8
         weight = np.where(labels == 1, 0.5 / pos, 0.5 / neg)
         for _ in range(epochs):
@@ -111,27 +123,30 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column, per_class: i
     return FactorizationMachine.fit([np.frombuffer(r["terms"], "<i4") for r in rows], y, prior=0.3)
 
 
-def _scorer(model: FactorizationMachine):
+def _scorer(model: FactorizationMachine, name: str = "score"):
     place = {int(t): i for i, t in enumerate(model.terms)}
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, tuple[int, ...]] = {}
+        held: dict[str, frozenset[int]] = {}  # of a word's terms, those that the model knows by themselves or twice
         for batch in batches:
             out = []
             for text in batch.column("text").to_pylist():
-                rows: set[int] = set()
+                once: set[int] = set()
+                twice: set[int] = set()
                 for word in set(_WORD.findall(text.lower())):
                     hit = held.get(word)
                     if hit is None:
                         if len(held) >= WORDS_HELD:
                             held.clear()
-                        hit = held[word] = tuple(place[t] for t in word_terms(word) if t in place)
+                        hit = held[word] = frozenset(t for t in word_terms(word) if t in place or t ^ TWICE in place)
                     if hit:
-                        rows.update(hit)
+                        twice |= once & hit
+                        once |= hit
+                rows = {place[t] for t in once if t in place} | {place[t ^ TWICE] for t in twice if t ^ TWICE in place}
                 z = model.logit(np.fromiter(sorted(rows), "i8", len(rows)))
                 out.append(1 / (1 + np.exp(-min(30.0, max(-30.0, z)))))
             keep = [batch.column(i) for i, c in enumerate(batch.schema.names) if c != "text"]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(out, pa.float64())], names=[*(c for c in batch.schema.names if c != "text"), "score"])
+            yield pa.RecordBatch.from_arrays([*keep, pa.array(out, pa.float64())], names=[*(c for c in batch.schema.names if c != "text"), name])
 
     return score
 
@@ -146,5 +161,5 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, model: FactorizationMachi
     """The rows of ``docs``, with all their columns, that score below ``threshold``; texts travel through Python once and are not shuffled."""
     read = docs.withColumn("__text", F.col("text")).withColumn("text", whole_text())
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in read.schema.fields if f.name != "text")
-    scored = read.mapInArrow(_scorer(model), f"{fields}, score double").where(F.col("score") < threshold)
-    return scored.withColumnRenamed("__text", "text").select(*docs.columns)
+    scored = read.mapInArrow(_scorer(model, "__score"), f"{fields}, __score double").where(F.col("__score") < threshold)
+    return scored.withColumnRenamed("__text", "text").select(*(F.col(f"`{c}`") for c in docs.columns))
