@@ -6,7 +6,6 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tidemark.llm import suffix_dedup
 from tidemark.llm.suffix_dedup import LENGTH, SuffixOrder, remove_repeats
 
 
@@ -21,8 +20,8 @@ def brute(texts):
         yield len(r), bytes(np.frombuffer(r, np.uint8)[~gone]), int((np.diff(np.concatenate(([0], gone.astype(int)))) == 1).sum())
 
 
-def check(docs, texts):
-    found = {r.doc_id: r for r in remove_repeats(docs(*texts).selectExpr("*", "1 AS h1", "2 AS k")).collect()}
+def check(docs, texts, **limits):
+    found = {r.doc_id: r for r in remove_repeats(docs(*texts).selectExpr("*", "1 AS h1", "2 AS k"), **limits).collect()}
     assert len(found) == len(texts)
     for i, (n, kept, spans) in enumerate(brute(texts)):
         assert (found[i].n_bytes, bytes(found[i].kept), len(found[i].spans)) == (n, kept, spans), i
@@ -49,10 +48,8 @@ def test_equals_brute_force(spark, docs, seed):
     check(docs, mixed_corpus(seed))
 
 
-def test_common_anchors_are_spread_and_groups_cut(spark, docs, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "GROUP_LIMIT", 2)
-    monkeypatch.setattr(suffix_dedup, "SORT_BYTES", 500)
-    check(docs, mixed_corpus(4))
+def test_common_anchors_are_spread_and_groups_cut(spark, docs):
+    check(docs, mixed_corpus(4), group_limit=2, sort_bytes=500)
 
 
 def test_few_rows(spark, docs):

@@ -7,7 +7,6 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tidemark.llm import token_store
 from tidemark.llm._common import scratch_path
 from tidemark.llm.mixing_coder import decode_blocks, encode_blocks
 from tidemark.llm.token_store import read_tokens, write_tokens
@@ -48,12 +47,11 @@ def test_repeats_shrink_and_damage_is_noticed():
 
 
 @pytest.mark.parametrize("lanes", [2, 2048])
-def test_store(spark, docs, monkeypatch, lanes):
-    monkeypatch.setattr(token_store, "LANES", lanes)
+def test_store(spark, docs, lanes):
     rows = [(7, None), (3, ""), (9, "ab " * 9000), (1, "one\n two"), (3, "tie"), (3, "tie"), (20, "last<|endoftext|>"), (None, "no id")] + [(100 + i, f"text {i} " * (i % 40)) for i in range(200)]
     path = scratch_path(spark, "test")
-    write_tokens(docs(*rows).selectExpr("*", "1 AS file", "2 AS ids"), path, PATH)
-    found = sorted(read_tokens(spark, path).collect(), key=lambda r: r.start)
+    write_tokens(docs(*rows).selectExpr("*", "1 AS file", "2 AS ids"), path, PATH, lanes=lanes)
+    found = sorted(read_tokens(spark, path, lanes).collect(), key=lambda r: r.start)
     t = Tokenizer.from_file(PATH)
     t.encode_special_tokens = True
     start = 0

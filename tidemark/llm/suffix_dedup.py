@@ -211,24 +211,27 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch(rows, _SEGMENT_TYPES)
 
 
-def _sort_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by anchor; whole groups of them are sorted when enough have come."""
+def _segment_sorter(sort_bytes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by anchor; whole groups of them are sorted when enough have come."""
 
-    def settle(rows: list[dict]) -> pa.RecordBatch:
-        groups = np.array([r["k"] for r in rows], np.int64)
-        found = repeated_starts([r["body"] for r in rows], np.array([r["at"] - r["low"] for r in rows], np.int64), groups)
-        return _batch([(r["h1"], r["h2"], r["low"] + a, r["low"] + b) for r, f in zip(rows, found, strict=True) if r["single"] for a, b in _runs(f)], _RUN_TYPES)
+        def settle(rows: list[dict]) -> pa.RecordBatch:
+            groups = np.array([r["k"] for r in rows], np.int64)
+            found = repeated_starts([r["body"] for r in rows], np.array([r["at"] - r["low"] for r in rows], np.int64), groups)
+            return _batch([(r["h1"], r["h2"], r["low"] + a, r["low"] + b) for r, f in zip(rows, found, strict=True) if r["single"] for a, b in _runs(f)], _RUN_TYPES)
 
-    held, size = [], 0
-    for batch in batches:
-        for row in batch.to_pylist():
-            if size > SORT_BYTES and row["k"] != held[-1]["k"]:
-                yield settle(held)
-                held, size = [], 0
-            held.append(row)
-            size += len(row["body"])
-    if held:
-        yield settle(held)
+        held, size = [], 0
+        for batch in batches:
+            for row in batch.to_pylist():
+                if size > sort_bytes and row["k"] != held[-1]["k"]:
+                    yield settle(held)
+                    held, size = [], 0
+                held.append(row)
+                size += len(row["body"])
+        if held:
+            yield settle(held)
+
+    return run
 
 
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,7 +247,7 @@ def _digests(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("h1"), F.xxhash64(text, F.lit(1)).alias("h2")]
 
 
-def repeated_runs(docs: DataFrame) -> DataFrame:
+def repeated_runs(docs: DataFrame, group_limit: int = GROUP_LIMIT, sort_bytes: int = SORT_BYTES) -> DataFrame:
     """``h1``, ``h2`` (a text's digest) and ``runs``: first and last starts, in bytes, of its strings that also start elsewhere."""
     texts = docs.select(whole_text().alias("text")).where(F.octet_length("text") >= LENGTH).select("text", *_digests(F.col("text")))
     found = materialize(texts.mapInArrow(_find, "k bigint, c bigint, h1 bigint, h2 bigint, low int, high int, at int"), "anchors")
@@ -260,9 +263,9 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     # Copies of a text cut the same surroundings.
     once = cut.groupBy("k", "c").agg(*(F.first(c).alias(c) for c in ("h1", "h2", "low", "high", "at", "single", "body")))
     segments = materialize(once, "segments")
-    common = materialize(sets.groupBy("k").agg(F.count("*").alias("m")).where(F.col("m") > GROUP_LIMIT).select("k"), "common")
+    common = materialize(sets.groupBy("k").agg(F.count("*").alias("m")).where(F.col("m") > group_limit).select("k"), "common")
     rest = segments.join(common, "k", "left_anti")
-    sorted_ = rest.repartition("k").sortWithinPartitions("k", "c").mapInArrow(_sort_segments, _RUN)
+    sorted_ = rest.repartition("k").sortWithinPartitions("k", "c").mapInArrow(_segment_sorter(sort_bytes), _RUN)
     strings = segments.join(common, "k", "left_semi").mapInArrow(_strings, "string binary, h1 bigint, h2 bigint, low int, single boolean")
     counts = strings.groupBy("string").agg(F.count("*").alias("n")).where("n > 1").select("string")
     spread = strings.where("single").join(counts, "string").select("h1", "h2", "low", F.col("low").alias("high"))
@@ -298,7 +301,7 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch(rows, types)
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, group_limit: int = GROUP_LIMIT, sort_bytes: int = SORT_BYTES) -> DataFrame:
     """``doc_id``, ``n_bytes``, ``spans`` and ``kept`` for each row.
 
     ``spans`` are the maximal byte ranges (start, end) that 200-byte strings
@@ -310,7 +313,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     count each for itself, so long ones are removed whole.  Other columns are
     ignored.
     """
-    runs = materialize(repeated_runs(docs), "runs")
+    runs = materialize(repeated_runs(docs, group_limit, sort_bytes), "runs")
     read = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole_text().alias("text")).select("*", *_digests(F.col("text")))
     both = read.join(runs, ["h1", "h2"], "left").select("doc_id", "text", "runs")
     return both.mapInArrow(_remove, "doc_id bigint, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary")

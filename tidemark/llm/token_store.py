@@ -55,7 +55,7 @@ class _Cutter:
         self._start(continues)
 
 
-def _writer(path: str, keeps_space: bool, end_id: int):
+def _writer(path: str, keeps_space: bool, end_id: int, lanes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         file, numbers, cutter, encode = TaskContext.get().partitionId(), itertools.count(), _Cutter(), encoder(path, keeps_space).encode_batch
         end = np.array([end_id], np.uint32)
@@ -69,7 +69,7 @@ def _writer(path: str, keeps_space: bool, end_id: int):
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 cutter.add(doc_id, np.concatenate((np.frombuffer(encode([text.as_py()])[0], "<u4"), end)))
-                if len(cutter.full) >= LANES:
+                if len(cutter.full) >= lanes:
                     yield flush()
         cutter.close()
         yield flush()
@@ -77,7 +77,7 @@ def _writer(path: str, keeps_space: bool, end_id: int):
     return run
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, keeps_space: bool = True, end_id: int = 0) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, keeps_space: bool = True, end_id: int = 0, lanes: int = LANES) -> None:
     """Write every document's ids, ``end_id`` after them, to a new store at ``path``, in ascending order of ``doc_id``.
 
     A null or empty text is the end id alone.  Null ids come first, rows with
@@ -86,55 +86,58 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, keeps_space: b
     """
     read = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole_text().alias("text"))
     read = read.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    read.mapInArrow(_writer(tokenizer_path, keeps_space, end_id), STORE_SCHEMA).write.parquet(path)
+    read.mapInArrow(_writer(tokenizer_path, keeps_space, end_id, lanes), STORE_SCHEMA).write.parquet(path)
+
+
+def _reader(lanes: int):
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by file and block; a document's parts lie in blocks that follow each other."""
+        names, types = ["doc_id", "file", "begin", "ids"], [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        waiting: list[dict] = []
+        parts: list[bytes] = []
+        file, at, doc = None, 0, None
+
+        def settle() -> pa.RecordBatch:
+            nonlocal file, at, doc, parts
+            rows: list[list] = [[], [], [], []]
+
+            def finish() -> None:
+                nonlocal at, parts
+                ids = b"".join(parts)
+                for column, value in zip(rows, (doc, file, at, ids), strict=True):
+                    column.append(value)
+                at += len(ids) // 4
+                parts = []
+
+            for row, ids in zip(waiting, decode_blocks([r["payload"] for r in waiting]), strict=True):
+                if len(ids) != row["n_ids"] or sum(row["counts"]) != len(ids):
+                    raise ValueError("a block doesn't hold the ids that its row tells of")
+                place = 0
+                for i, (doc_id, n) in enumerate(zip(row["doc_ids"], row["counts"], strict=True)):
+                    if parts and (i or not row["continues"]):
+                        finish()
+                    if row["file"] != file:
+                        file, at = row["file"], 0
+                    doc = doc_id
+                    parts.append(ids[place : place + n].astype("<u4").tobytes())
+                    place += n
+            waiting.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], names=names)
 
+        for batch in batches:
+            for row in batch.to_pylist():
+                waiting.append(row)
+                if len(waiting) >= lanes:
+                    yield settle()
+        yield settle()
+        if parts:
+            ids = b"".join(parts)
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((doc, file, at, ids), types, strict=True)], names=names)
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come by file and block; a document's parts lie in blocks that follow each other."""
-    names, types = ["doc_id", "file", "begin", "ids"], [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-    waiting: list[dict] = []
-    parts: list[bytes] = []
-    file, at, doc = None, 0, None
+    return read
 
-    def settle() -> pa.RecordBatch:
-        nonlocal file, at, doc, parts
-        rows: list[list] = [[], [], [], []]
 
-        def finish() -> None:
-            nonlocal at, parts
-            ids = b"".join(parts)
-            for column, value in zip(rows, (doc, file, at, ids), strict=True):
-                column.append(value)
-            at += len(ids) // 4
-            parts = []
-
-        for row, ids in zip(waiting, decode_blocks([r["payload"] for r in waiting]), strict=True):
-            if len(ids) != row["n_ids"] or sum(row["counts"]) != len(ids):
-                raise ValueError("a block doesn't hold the ids that its row tells of")
-            place = 0
-            for i, (doc_id, n) in enumerate(zip(row["doc_ids"], row["counts"], strict=True)):
-                if parts and (i or not row["continues"]):
-                    finish()
-                if row["file"] != file:
-                    file, at = row["file"], 0
-                doc = doc_id
-                parts.append(ids[place : place + n].astype("<u4").tobytes())
-                place += n
-        waiting.clear()
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], names=names)
-
-    for batch in batches:
-        for row in batch.to_pylist():
-            waiting.append(row)
-            if len(waiting) >= LANES:
-                yield settle()
-    yield settle()
-    if parts:
-        ids = b"".join(parts)
-        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((doc, file, at, ids), types, strict=True)], names=names)
-
-
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
+def read_tokens(spark: SparkSession, path: str, lanes: int = LANES) -> DataFrame:
     """``doc_id``, ``start`` (ids of all documents before it) and ``ids`` (little-endian uint32) of every document in the store.
 
     A damaged block raises an error.  The driver gathers one number for each
@@ -144,5 +147,5 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     sizes = {r["file"]: r["n"] for r in store.groupBy("file").agg(F.sum("n_ids").alias("n")).collect()}
     before = dict(zip(sorted(sizes), itertools.accumulate((sizes[f] for f in sorted(sizes)), initial=0), strict=False))
     offsets = spark.createDataFrame(list(before.items()) or [(0, 0)], "file bigint, before bigint")
-    found = store.repartition("file").sortWithinPartitions("file", "block").mapInArrow(_read, "doc_id bigint, file bigint, begin bigint, ids binary")
+    found = store.repartition("file").sortWithinPartitions("file", "block").mapInArrow(_reader(lanes), "doc_id bigint, file bigint, begin bigint, ids binary")
     return found.join(F.broadcast(offsets), "file").select("doc_id", (F.col("before") + F.col("begin")).alias("start"), "ids")
