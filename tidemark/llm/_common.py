@@ -6,7 +6,9 @@ import gc
 import tempfile
 import uuid
 import zlib
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +65,12 @@ def held_out(id_column: str, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % modulus == remainder, F.lit(True))
 
 
+def texts_of(column: pa.Array, step: int = 256) -> Iterator[str]:
+    """The strings of a column, of which only ``step`` are Python objects at a time."""
+    for i in range(0, len(column), step):
+        yield from column.slice(i, step).to_pylist()
+
+
 def split_words(text: str) -> list[str]:
     """The runs of characters that aren't Unicode white space."""
     if any(c in text for c in _SPLIT_ONLY):

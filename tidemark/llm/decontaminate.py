@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import whole_text
+from tidemark.llm._common import texts_of, whole_text
 from tidemark.llm.hashing import BASE, mix
 
 _TOKEN = re.compile(r"[^\W_]+")
@@ -114,7 +114,7 @@ class SeedIndex:
 def _finder(index: SeedIndex, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [index.overlaps(t) for t in batch.column("__whole").to_pylist()]
+            found = [index.overlaps(t) for t in texts_of(batch.column("__whole"))]
             rows = [[dict(zip(("item_id", "start", "length", "equal"), x, strict=True)) for x in f] for f in found]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(rows, _HIT_TYPE)], names=[*names, "__found"])
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import bucket, split_words, training_rows, whole_text
+from tidemark.llm._common import bucket, split_words, texts_of, training_rows, whole_text
 
 #: Buckets of the embedding table, and the lengths of character n-grams.
 MASK, GRAMS = (1 << 15) - 1, (1, 2, 3)
@@ -42,7 +42,7 @@ def word_buckets(word: str) -> list[int]:
 def _buckets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, counts = [], []
-        for text in batch.column("text").to_pylist():
+        for text in texts_of(batch.column("text")):
             seen: Counter[int] = Counter()
             for word, n in Counter(text_words(text)).items():
                 for b in word_buckets(word):
@@ -111,7 +111,7 @@ def _scorer(model: SubwordClassifier):
             return found
 
         for batch in batches:
-            totals = [sum(map(of, text_words(t)), 0j) for t in batch.column("text").to_pylist()]
+            totals = [sum(map(of, text_words(t)), 0j) for t in texts_of(batch.column("text"))]
             z = np.array([t.real / t.imag if t.imag else 0.0 for t in totals], "f8") + bias
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], names=["doc_id", "score"])
 

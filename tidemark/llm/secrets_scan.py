@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import materialize, whole_text
+from tidemark.llm._common import materialize, texts_of, whole_text
 
 #: Kinds in the order in which spans at one place are listed (fixed values).
 KINDS = ("assign", "access", "hex", "owned")
@@ -55,7 +55,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     uid = TaskContext.get().partitionId() << 40
     item = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.binary())])
     for batch in batches:
-        found = [find_candidates(t) for t in batch.column("text").to_pylist()]
+        found = [find_candidates(t) for t in texts_of(batch.column("text"))]
         n = len(found)
         counts = [pa.array([sum(x[0] == k for x in f) for f in found], pa.int64()) for k in range(3)]
         rows = pa.array([[dict(zip(("kind", "start", "end", "value"), x, strict=True)) for x in f] for f in found], pa.list_(item))
