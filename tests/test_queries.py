@@ -4,6 +4,7 @@ import glob
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from tidemark.oracle import ORACLE_SQL
@@ -21,7 +22,7 @@ def duck():
 
 
 def rows(frame, columns):
-    plain = lambda x: None if x is None or x != x else float(x) if isinstance(x, (int, float)) and not isinstance(x, bool) else x
+    plain = lambda x: None if pd.isna(x) else float(x) if isinstance(x, (int, float)) and not isinstance(x, bool) else x
     return sorted(str([plain(x) for x in r]) for r in frame[columns].astype(object).values.tolist())
 
 
@@ -40,11 +41,11 @@ def test_queries_without_sql(spark):
     assert log.where("type is null").count() == 0 and log.count() > 5
 
 
-def test_snapshot_filter_reaches_the_scan(spark):
+def test_snapshot_filter_reaches_the_scan(spark, tmp_path):
     from tidemark.operators.mvcc import snapshot_read
     from tidemark.plans.histories import serial_versions
 
-    path = "/tmp/tidemark-test-versions"
+    path = str(tmp_path / "versions")
     serial_versions(spark, SF).write.mode("overwrite").parquet(path)
     plan = snapshot_read(spark.read.parquet(path), 500)._jdf.queryExecution().executedPlan().toString()
     assert "LessThanOrEqual(commit_ts,500)" in plan and "tx_id" not in plan.split("ReadSchema")[1]
