@@ -64,7 +64,7 @@ class _Models:
     def predict(self, m: int) -> None:
         self.at1 = self.base[:m] + (((self.one[:m] * 40503) >> 4) & (_SLOTS - 1))
         self.at2 = self.base[:m] + (((self.one[:m] * 40503 + self.two[:m] * 30011) >> 3) & (_SLOTS - 1))
-        self.e1, self.e2 = self.tables[0][self.at1], self.tables[1][self.at2]
+        self.e1, self.e2 = self.tables[0].take(self.at1), self.tables[1].take(self.at2)
         self.p1, self.p2 = self.e1 >> 2, self.e2 >> 2
         self.context = self.lane[:m] * 16 + ((self.e2 & 3) << 2) + (self.e1 & 3)
 
@@ -100,21 +100,22 @@ class _Encoder:
         self.low, self.range = np.zeros(n, _U), np.full(n, (1 << _LOW_BITS) - 1, _U)
         self.out, self.at = np.zeros((n, 3 * longest + 4), np.uint16), np.zeros(n, np.int64)
 
-    def code(self, k: np.ndarray, cum: np.ndarray, freq: np.ndarray) -> None:
-        """Code an interval of ``_TOTAL`` in each of the lanes ``k``."""
+    def code(self, k: np.ndarray | slice, cum: np.ndarray, freq: np.ndarray) -> None:
+        """Code an interval of ``_TOTAL`` in each of the lanes ``k``, which are some or the first ones."""
         share = self.range[k] >> _U(_BITS)
         low, width = self.low[k] + cum * share, freq * share
         over = np.flatnonzero(low >> _U(_LOW_BITS))
         if len(over):
             low[over] &= _U((1 << _LOW_BITS) - 1)
-            lanes, place = k[over], self.at[k[over]] - 1
+            lanes = over if isinstance(k, slice) else k[over]
+            place = self.at[lanes] - 1
             while len(lanes):  # the carry runs through words of ones
                 self.out[lanes, place] += np.uint16(1)
                 more = self.out[lanes, place] == 0
                 lanes, place = lanes[more], place[more] - 1
         small = np.flatnonzero(width < _LEAST_RANGE)
         if len(small):
-            lanes = k[small]
+            lanes = small if isinstance(k, slice) else k[small]
             self.out[lanes, self.at[lanes]] = (low[small] >> _U(_LOW_BITS - _WORD)).astype(np.uint16)
             self.at[lanes] += 1
             low[small] = (low[small] << _U(_WORD)) & _U((1 << _LOW_BITS) - 1)
@@ -149,15 +150,15 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
         models.predict(m)
         outcome = np.where(x == models.p2, 0, np.where(x == models.p1, 1, 2))
         at = models.context * 4 + outcome
-        cum = models.edges[at]
-        coder.code(models.lane[:m], cum, models.edges[at + 1] - cum)
+        cum = models.edges.take(at)
+        coder.code(slice(0, m), cum, models.edges.take(at + 1) - cum)
         missed = np.flatnonzero(outcome == 2)
         if len(missed):
             lost = x[missed]
             for steps, value in zip(models.steps, (lost >> 8, lost & 255), strict=True):
                 at = missed * _ROW + value
-                cum = steps[at].astype(_U)
-                coder.code(missed, cum, steps[at + 1].astype(_U) - cum)
+                cum = steps.take(at).astype(_U)
+                coder.code(missed, cum, steps.take(at + 1).astype(_U) - cum)
         models.learn(m, x, outcome, missed)
     out: list[bytes] = [b""] * n
     for lane, words in enumerate(coder.finish()):
@@ -175,15 +176,15 @@ class _Decoder:
         first = self.words[:, :3].astype(_U)
         self.code_, self.range = (first[:, 0] << _U(32)) | (first[:, 1] << _U(16)) | first[:, 2], np.full(n, (1 << _LOW_BITS) - 1, _U)
 
-    def target(self, k: np.ndarray) -> np.ndarray:
+    def target(self, k: np.ndarray | slice) -> np.ndarray:
         self.share = self.range[k] >> _U(_BITS)
         return np.minimum(self.code_[k] // self.share, _U(_TOTAL - 1))
 
-    def take(self, k: np.ndarray, cum: np.ndarray, freq: np.ndarray) -> None:
+    def take(self, k: np.ndarray | slice, cum: np.ndarray, freq: np.ndarray) -> None:
         code, width = self.code_[k] - cum * self.share, freq * self.share
         small = np.flatnonzero(width < _LEAST_RANGE)
         if len(small):
-            lanes = k[small]
+            lanes = small if isinstance(k, slice) else k[small]
             code[small] = (code[small] << _U(_WORD)) | self.words[lanes, self.at[lanes]]
             self.at[lanes] += 1
             width[small] <<= _U(_WORD)
@@ -217,11 +218,12 @@ def decode_blocks(coded: list[bytes]) -> list[np.ndarray]:
         if any(models_due):
             models.refresh(m, *models_due)
         models.predict(m)
-        lanes = models.lane[:m]
+        lanes = slice(0, m)
         target, at = coder.target(lanes), models.context * 4
-        outcome = (target >= models.edges[at + 1]).astype(np.int64) + (target >= models.edges[at + 2])
-        cum = models.edges[at + outcome]
-        coder.take(lanes, cum, models.edges[at + outcome + 1] - cum)
+        outcome = (target >= models.edges.take(at + 1)).astype(np.int64) + (target >= models.edges.take(at + 2))
+        at += outcome
+        cum = models.edges.take(at)
+        coder.take(lanes, cum, models.edges.take(at + 1) - cum)
         x = np.where(outcome == 0, models.p2, models.p1).astype(np.int64)
         missed = np.flatnonzero(outcome == 2)
         if len(missed):
@@ -232,8 +234,8 @@ def decode_blocks(coded: list[bytes]) -> list[np.ndarray]:
                 fine = np.count_nonzero(steps.reshape(-1, 16).take(missed * (_ROW // 16) + part, 0) <= target, 1) - 1
                 byte = part * 16 + fine
                 at = missed * _ROW + byte
-                cum = steps[at].astype(_U)
-                coder.take(missed, cum, steps[at + 1].astype(_U) - cum)
+                cum = steps.take(at).astype(_U)
+                coder.take(missed, cum, steps.take(at + 1).astype(_U) - cum)
                 value = (value << 8) | byte
             x[missed] = value
         models.learn(m, x, outcome, missed)
