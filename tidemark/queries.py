@@ -89,9 +89,10 @@ def _folded(ops):
 
 
 def _run(spark, sf_dir, reads=False):
+    """Operations, folded writes and timed transactions. The last two feed several branches of a plan and are kept in the cache, which spills, meanwhile."""
     ops = _ops(spark, sf_dir, reads)
-    folded = _folded(ops)
-    return ops, folded, transactions.allocate_timestamps(transactions.transactions(ops, folded))
+    folded = _folded(ops).persist()
+    return ops, folded, transactions.allocate_timestamps(transactions.transactions(ops, folded)).persist()
 
 
 def intent_conflict_fold(spark, sf_dir):
