@@ -67,6 +67,7 @@ def held_out(id_column: str, modulus: int, remainder: int) -> Column:
 
 def texts_of(column: pa.Array, step: int = 256) -> Iterator[str]:
     """The strings of a column, of which only ``step`` are Python objects at a time."""
+    forget()
     for i in range(0, len(column), step):
         yield from column.slice(i, step).to_pylist()
 
@@ -80,9 +81,19 @@ def split_words(text: str) -> list[str]:
     return text.split()
 
 
-def bucket(term: str, mask: int) -> int:
+def bucket(term: str | bytes, mask: int) -> int:
     """A stable hash of ``term``: crc32 of its UTF-8 bytes, cut to ``mask``."""
-    return zlib.crc32(term.encode("utf-8", "surrogatepass")) & mask
+    return zlib.crc32(term if isinstance(term, bytes) else term.encode("utf-8", "surrogatepass")) & mask
+
+
+#: What a Python worker remembers from task to task.
+REMEMBERED: list[dict] = []
+
+
+def forget() -> None:
+    """Drop what the worker remembers for another operator than the one that it works for now."""
+    for held in REMEMBERED:
+        held.clear()
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, train: Column, per_class: int, seed: int) -> DataFrame:

@@ -12,6 +12,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from tidemark.llm._common import forget
+
 _RNG = np.random.default_rng(20240229)
 #: A random 64-bit value for each byte, and the odd base of the polynomial.
 TABLE = _RNG.integers(0, 1 << 64, 256, dtype=np.uint64)
@@ -61,6 +63,7 @@ def substring_hashes(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -
 
 def text_chunks(texts: pa.Array, limit: int = 1 << 17) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """``(first row, last row + 1, bytes, offsets)`` of runs of rows of about ``limit`` bytes; a longer text is a run of its own."""
+    forget()
     texts = texts.cast(pa.large_binary())
     n = len(texts)
     if not n:

@@ -20,7 +20,7 @@ from tidemark.llm._common import bucket, split_words, texts_of, training_rows, w
 #: Buckets of the embedding table, and the lengths of character n-grams.
 MASK, GRAMS = (1 << 15) - 1, (1, 2, 3)
 #: Words remembered by a Python worker at most.
-WORDS_HELD = 800_000
+WORDS_HELD = 400_000
 #: What stands for a word that repeats the one before it; no split text holds it.
 AGAIN = " "
 
@@ -35,7 +35,9 @@ def word_buckets(word: str) -> list[int]:
     """Buckets of a word and of its n-grams with marked ends, repeats included; letter case counts. ``AGAIN`` has one of its own."""
     if word == AGAIN:
         return [bucket(word, MASK)]
-    marked = f"\x02{word}\x03"
+    marked: str | bytes = f"\x02{word}\x03"
+    if marked.isascii():
+        marked = marked.encode()  # cut as bytes, which bucket() then needn't encode
     return [bucket(marked, MASK), *(bucket(marked[i : i + n], MASK) for n in GRAMS for i in range(len(marked) - n + 1))]
 
 

@@ -6,7 +6,7 @@ import re
 import struct
 from itertools import islice
 
-from tidemark.llm._common import UNICODE_SPACE, split_words
+from tidemark.llm._common import REMEMBERED, UNICODE_SPACE, split_words
 
 #: Words remembered by a Python worker, for each tokenizer, at most.
 WORDS_HELD = 800_000
@@ -43,6 +43,7 @@ class WordEncoder:
         self._model = self._tokenizer.model
         self._keeps_space, self._cut = keeps_space, _PLAIN_CUTS[keeps_space].findall
         self._held: dict[str, bytes] = {}
+        REMEMBERED.append(self._held)
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         out = []

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import bucket, training_rows, whole_text
+from tidemark.llm._common import bucket, texts_of, training_rows, whole_text
 
 _WORD = re.compile(r"[^\W\d_]+")
 #: Hash space of the terms, the lengths of character n-grams, and those of word beginnings.
@@ -24,12 +24,14 @@ MASK, GRAMS, BEGINNINGS = (1 << 20) - 1, (3, 4, 5), (6, 7, 8, 9)
 #: What turns a term into that of "in two words at least".
 TWICE = 0x5BD1E
 #: Words remembered by a Python worker at most.
-WORDS_HELD = 800_000
+WORDS_HELD = 400_000
 
 
 def word_terms(word: str) -> set[int]:
     """Hashes of a word, of its beginnings and of its n-grams, with marked ends."""
-    marked = f"<{word}>"
+    marked: str | bytes = f"<{word}>"
+    if marked.isascii():
+        marked = marked.encode()  # cut as bytes, which bucket() then needn't encode
     terms = {bucket(marked, MASK), *(bucket(marked[: n + 1], MASK) for n in BEGINNINGS if len(word) > n)}
     for n in GRAMS:
         terms.update(bucket(marked[i : i + n], MASK) for i in range(len(marked) - n + 1))
@@ -50,7 +52,7 @@ def text_terms(text: str) -> set[int]:
 def _terms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(label, the document's distinct term hashes as little-endian int32)."""
     for batch in batches:
-        out = [np.fromiter(t := text_terms(text), "<i4", len(t)).tobytes() for text in batch.column("text").to_pylist()]
+        out = [np.fromiter(t := text_terms(text), "<i4", len(t)).tobytes() for text in texts_of(batch.column("text"))]
         yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(out, pa.binary())], names=["label", "terms"])
 
 
@@ -79,10 +81,10 @@ class FactorizationMachine:
         pos, neg = int(labels.sum()), int((1 - labels).sum())
         if not pos or not neg:
             return none
-        sizes = np.array([len(d) for d in docs])
-        flat, which = np.concatenate(docs), np.repeat(np.arange(len(docs)), sizes)
-        in_pos = np.bincount(flat[labels[which] == 1], minlength=MASK + 1)
-        in_neg = np.bincount(flat[labels[which] == 0], minlength=MASK + 1)
+        counts = np.zeros((2, MASK + 1))
+        for terms, label in zip(docs, labels, strict=True):
+            counts[label, terms] += 1
+        in_neg, in_pos = counts
         n, seen = pos + neg, in_pos + in_neg
         with np.errstate(divide="ignore", invalid="ignore"):
             chi = n * (in_pos * (neg - in_neg) - in_neg * (pos - in_pos)) ** 2.0 / (seen * (n - seen) * float(pos) * neg)
@@ -93,8 +95,8 @@ class FactorizationMachine:
             return none
         at = np.full(MASK + 1, -1, "i4")
         at[terms] = np.arange(len(terms))
-        cols = at[flat]
-        rows, cols = which[cols >= 0], cols[cols >= 0]
+        chosen = [x[x >= 0] for x in (at[d] for d in docs)]
+        rows, cols = np.repeat(np.arange(len(docs)), [len(x) for x in chosen]), np.concatenate(chosen)
         rng = np.random.default_rng(seed)
         w, v, b = np.zeros(len(terms)), rng.normal(0, scale, (len(terms), rank)), 0.0
         gw, gv, gb = np.full_like(w, 1e-8), np.full_like(v, 1e-8), 1e-8
@@ -130,7 +132,7 @@ def _scorer(model: FactorizationMachine, name: str = "score"):
         held: dict[str, frozenset[int]] = {}  # of a word's terms, those that the model knows by themselves or twice
         for batch in batches:
             out = []
-            for text in batch.column("text").to_pylist():
+            for text in texts_of(batch.column("text")):
                 once: set[int] = set()
                 twice: set[int] = set()
                 for word in set(_WORD.findall(text.lower())):
