@@ -127,6 +127,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column, per_class: i
 
 def _scorer(model: FactorizationMachine, name: str = "score"):
     place = {int(t): i for i, t in enumerate(model.terms)}
+    known = set(place) | {t ^ TWICE for t in place}
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, frozenset[int]] = {}  # of a word's terms, those that the model knows by themselves or twice
@@ -140,7 +141,7 @@ def _scorer(model: FactorizationMachine, name: str = "score"):
                     if hit is None:
                         if len(held) >= WORDS_HELD:
                             held.clear()
-                        hit = held[word] = frozenset(t for t in word_terms(word) if t in place or t ^ TWICE in place)
+                        hit = held[word] = frozenset(known & word_terms(word))
                     if hit:
                         twice |= once & hit
                         once |= hit
