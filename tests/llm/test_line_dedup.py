@@ -39,3 +39,17 @@ def test_counts_equal_those_of_a_brute_force_version(spark, docs):
 
 def test_template():
     assert template("a  b12 c\t7") == ["a", "<*>", "c", "<*>"]
+
+
+def test_edited_copies_neither_save_a_line_nor_make_it_recur(spark, docs):
+    rng = random.Random(9)
+    common, lines = "please read all of our terms first", [sentence(rng, 12) for _ in range(12)]
+    rows = [(i, sentence(rng, 60) + "\n" + common) for i in range(12)]
+    for i in range(60):  # one text with many edited copies
+        copy = [x.split() for x in lines]
+        for _ in range(4):
+            copy[rng.randrange(12)][rng.randrange(12)] = sentence(rng, 1)
+        rows.append((100 + i, "\n".join([*map(" ".join, copy), common])))
+    found = {r.doc_id: r.text for r in drop_lines(docs(*rows)).collect()}
+    for i, t in rows:
+        assert found[i] == t.removesuffix("\n" + common)

@@ -18,13 +18,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import materialize
+from tidemark.llm._common import materialize, texts_of
 from tidemark.llm.hashing import shingles, text_chunks, words
 
 _DIGIT = re.compile(r"\d")
 VARIABLE = "<*>"
 #: Leading tokens in a path; tokens that a line must have; tokens from which on halves count too.
 DEPTH, LEAST_TOKENS, HALVES_FROM = 2, 3, 12
+#: Shingle hashes in a text's sample; the share of shingles from which on texts are related; texts of one part of a template's.
+SAMPLE, ALIKE, PART = 32, 0.5, 500
+_NO_LIMIT = (1 << 31) - 1
+
+HELD = "h1 bigint, h2 bigint, key bigint, lines array<int>, sample array<int>, alone boolean, most int"
+_HELD = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("key", pa.int64()), ("lines", pa.list_(pa.int32())), ("sample", pa.list_(pa.int32())), ("alone", pa.bool_()), ("most", pa.int32())])
 
 
 def template(line: str) -> list[str]:
@@ -47,60 +53,152 @@ def template_keys(line: str) -> list[int]:
     return [xxhash.xxh3_64_intdigest("\x00".join([*path, *p]).encode("utf-8", "surrogatepass")) - (1 << 63) for p in parts]
 
 
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each line and key: the text's digest, the line's number, the key and the text's family."""
+def _path(tokens: list[str]) -> int:
+    return xxhash.xxh3_64_intdigest("\x00".join([str(len(tokens)), *tokens[:DEPTH]]).encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each line that has keys: the text's digest, the line's number and its path."""
+    for batch in batches:
+        h1, h2, number, path = [], [], [], []
+        for one, two, text in zip(batch.column("h1").to_pylist(), batch.column("h2").to_pylist(), texts_of(batch.column("text")), strict=True):
+            for j, line in enumerate(text.split("\n")):
+                tokens = template(line)
+                if len(tokens) >= LEAST_TOKENS:
+                    h1.append(one)
+                    h2.append(two)
+                    number.append(j)
+                    path.append(_path(tokens))
+        yield pa.RecordBatch.from_arrays([pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(number, pa.int32()), pa.array(path, pa.int64())], names=["h1", "h2", "line", "path"])
+
+
+def _line_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words of some texts, where each text's begin, and the number that each word's line has in its text."""
+    breaks = np.flatnonzero(data == 10)
+    n = len(offsets) - 1
+    text = np.concatenate((np.arange(n), np.searchsorted(offsets, breaks, "right") - 1))
+    start = np.concatenate((offsets[:-1], breaks + 1))
+    order = np.lexsort((start, text))
+    hashes, line, bounds = words(data, np.concatenate((start[order], offsets[-1:])))
+    first = np.searchsorted(text[order], np.arange(n + 1))
+    begins = bounds[first]
+    return hashes, begins, line - np.repeat(first[:-1], np.diff(begins))
+
+
+class _Sample:
+    """The ``SAMPLE`` smallest shingle hashes of a text, cut to 31 bits, with the lines that each reaches."""
+
+    def __init__(self, words_: np.ndarray, lines: np.ndarray, made: np.ndarray):
+        values = (made >> np.uint64(33)).astype(np.int32)
+        known = np.unique(values)
+        self.whole = len(known) <= SAMPLE
+        self.limit = _NO_LIMIT if self.whole else int(known[SAMPLE - 1])
+        at = np.flatnonzero(values <= self.limit)
+        self.words, self.lines, self.values = words_, lines, values[at]
+        self.first = lines[at] if len(lines) else at
+        self.last = lines[np.minimum(at + 4, len(lines) - 1)] if len(lines) else at
+
+    def of(self, numbers: list[int]) -> tuple[list[int], bool]:
+        """The text's values, and whether there is nothing else in it than these lines."""
+        return np.unique(self.values).tolist(), False
+
+
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each text and key of its lines ``active``: the digest, the lines, and a sample of the text."""
     for batch in batches:
         column = batch.column("text")
         for first, last, data, offsets in text_chunks(column):
-            hashes, _, bounds = words(data, offsets)
+            hashes, bounds, lines = _line_words(data, offsets)
             made, begins = shingles(hashes, bounds)
-            family = np.full(last - first, -1, np.int64)
-            full = np.flatnonzero(np.diff(begins))
-            if len(full):
-                family[full] = np.minimum.reduceat(made, begins[:-1][full]).view(np.int64)
-            h1, h2, number, key, kin = [], [], [], [], []
-            ones, twos = batch.column("h1").slice(first, last - first).to_pylist(), batch.column("h2").slice(first, last - first).to_pylist()
-            for i, text in enumerate(column.slice(first, last - first).to_pylist()):
-                for j, line in enumerate(text.split("\n")):
-                    for k in template_keys(line):
-                        h1.append(ones[i])
-                        h2.append(twos[i])
-                        number.append(j)
-                        key.append(k)
-                        kin.append(family[i])
-            yield pa.RecordBatch.from_arrays([pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(number, pa.int32()), pa.array(key, pa.int64()), pa.array(kin, pa.int64())], names=["h1", "h2", "line", "key", "family"])
+            rows: list[tuple] = []
+            part = batch.slice(first, last - first)
+            ones, twos, active = (part.column(c).to_pylist() for c in ("h1", "h2", "active"))
+            for i, text in enumerate(part.column("text").to_pylist()):
+                split, keys = text.split("\n"), {}
+                for j in sorted(active[i]):
+                    for k in template_keys(split[j]):
+                        keys.setdefault(k, []).append(j)
+                sample = _Sample(hashes[bounds[i] : bounds[i + 1]], lines[bounds[i] : bounds[i + 1]], made[begins[i] : begins[i + 1]])
+                known: dict[tuple, tuple] = {}
+                for k, numbers in keys.items():
+                    if (t := tuple(numbers)) not in known:
+                        known[t] = sample.of(numbers)
+                    rows.append((ones[i], twos[i], k, numbers, *known[t], sample.limit))
+            yield pa.RecordBatch.from_pylist([dict(zip(_HELD.names, r, strict=True)) for r in rows], _HELD)
+
+
+def related(one: tuple[frozenset, int, bool], two: tuple[frozenset, int, bool]) -> bool:
+    """Whether two samples (values, limit, alone) come from texts that share at least ``ALIKE`` of their shingles."""
+    (a, most_a, alone_a), (b, most_b, alone_b) = one, two
+    if alone_a != alone_b or a.isdisjoint(b):
+        return False
+    if most_a != most_b:
+        limit = min(most_a, most_b)
+        a, b = frozenset(x for x in a if x <= limit), frozenset(x for x in b if x <= limit)
+    return len(a & b) >= ALIKE * len(a | b)
+
+
+def _unrelated(names: list[str]):
+    """Of rows sorted by ``names``, for each value of these: rows that aren't related to one taken before, ``least`` at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, taken = None, []
+        for batch in batches:
+            rows = batch.to_pylist()
+            keep = []
+            for i, r in enumerate(rows):
+                here = tuple(r[c] for c in names)
+                if here != at:
+                    at, taken = here, []
+                if len(taken) < r["least"]:
+                    made = (frozenset(r["sample"]), r["most"], r["alone"])
+                    if not any(related(made, t) for t in taken):
+                        taken.append(made)
+                        keep.append(i)
+            yield batch.take(pa.array(keep, pa.int64()))
+
+    return run
 
 
 def _digest(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("h1"), F.xxhash64(text, F.lit(1)).alias("h2")]
 
 
-def dropped_lines(docs: DataFrame, least_families: int = 10, least_share: float = 0.5) -> DataFrame:
+def dropped_lines(docs: DataFrame, least_families: int = 10) -> DataFrame:
     """``h1``, ``h2`` (a text's digest) and ``lines``: the numbers of its lines whose template recurs.
 
-    A template recurs if texts of at least ``least_families`` families hold it
-    and these are at least ``least_share`` of the texts that do.  A family is a
-    text's smallest shingle hash: exact copies share it and near copies mostly
-    do, so a text that was copied a thousand times keeps its own lines.
+    A template recurs if ``least_families`` of the texts that hold it are
+    unrelated to each other, however many copies hold it as well.  Texts are
+    related that share ``ALIKE`` of their shingles, estimated from the
+    ``SAMPLE`` smallest hashes, so a text that was copied and edited a
+    thousand times keeps its own lines.
     """
     texts = docs.where(F.col("text").isNotNull()).select(*_digest(F.col("text")), "text")
-    lines = materialize(texts.mapInArrow(_lines, "h1 bigint, h2 bigint, line int, key bigint, family bigint"), "lines")
-    texts_of = lines.groupBy("key", "family", "h1", "h2").agg(F.lit(1).alias("one"))
-    families = texts_of.groupBy("key", "family").agg(F.count("*").alias("texts"))
-    counts = families.groupBy("key").agg(F.count("*").alias("families"), F.sum("texts").alias("texts"))
-    recurs = counts.where((F.col("families") >= least_families) & (F.col("families") >= least_share * F.col("texts"))).select("key")
-    hits = lines.join(recurs, "key").groupBy("h1", "h2", "line").agg(F.lit(1).alias("one"))
-    return hits.groupBy("h1", "h2").agg(F.collect_list("line").alias("lines"))
-
-
-def drop_lines(docs: DataFrame, least_families: int = 10, least_share: float = 0.5) -> DataFrame:
+    texts = materialize(texts.dropDuplicates(["h1", "h2"]), "texts")
+    # Only a path that enough texts have can hold a template that recurs.
+    lines = materialize(texts.mapInArrow(_paths, "h1 bigint, h2 bigint, line int, path bigint"), "lines")
+    common = lines.groupBy("path", "h1", "h2").agg(F.lit(1).alias("one")).groupBy("path").agg(F.count("*").alias("texts")).where(F.col("texts") >= least_families)
+    active = lines.join(common.select("path"), "path").groupBy("h1", "h2").agg(F.collect_list("line").alias("active"))
+    held = materialize(texts.join(active, ["h1", "h2"]).mapInArrow(_held, HELD), "held").withColumn("least", F.lit(least_families))
+    sizes = held.groupBy("key", "least").agg(F.count("*").alias("texts")).where("texts >= least").select("key", F.ceil(F.col("texts") / F.lit(PART)).alias("parts"))
+    rows = held.join(sizes, "key").select("key", F.pmod("h2", "parts").alias("part"), "h1", "h2", "sample", "alone", "most", "least")
+    fields = "key bigint, part bigint, h1 bigint, h2 bigint, sample array<int>, alone boolean, most int, least int"
+    # First within parts of a template's texts, then among those that each part has kept.
+    some = rows.repartition("key", "part").sortWithinPartitions("key", "part", "h1", "h2").mapInArrow(_unrelated(["key", "part"]), fields)
+    best = some.repartition("key").sortWithinPartitions("key", "h1", "h2").mapInArrow(_unrelated(["key"]), fields)
+    recurs = materialize(best.groupBy("key", "least").agg(F.count("*").alias("families")).where("families >= least").select("key"), "recurring")
+    hits = held.join(recurs, "key").select("h1", "h2", F.explode("lines").alias("line"))
+    return hits.groupBy("h1", "h2").agg(F.collect_set("line").alias("lines"))
+
+
+def drop_lines(docs: DataFrame, least_families: int = 10) -> DataFrame:
     """``docs`` with recurring lines taken out of ``text``, and ``n_dropped``; all rows and columns stay.
 
     Lines end at ``\\n``.  A null text stays null, an empty one empty; a text
     of recurring lines only becomes empty.  Equal texts lose the same lines.  A
     column of ``docs`` named ``n_dropped`` is replaced.
     """
-    gone = materialize(dropped_lines(docs, least_families, least_share), "dropped")
+    gone = materialize(dropped_lines(docs, least_families), "dropped")
     text = F.col("text")
     keyed = docs.drop("n_dropped").withColumns({"__h1": F.xxhash64(text), "__h2": F.xxhash64(text, F.lit(1))})
     gone = gone.select(F.col("h1").alias("__h1"), F.col("h2").alias("__h2"), F.col("lines").alias("__lines"))
