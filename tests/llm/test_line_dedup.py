@@ -53,3 +53,11 @@ def test_edited_copies_neither_save_a_line_nor_make_it_recur(spark, docs):
     found = {r.doc_id: r.text for r in drop_lines(docs(*rows)).collect()}
     for i, t in rows:
         assert found[i] == t.removesuffix("\n" + common)
+
+
+def test_a_long_passage_does_not_relate_its_holders(spark, docs):
+    rng = random.Random(11)
+    passage = sentence(rng, 60)
+    rows = [(i, sentence(rng, own) + "\n" + passage) for i, own in enumerate([3, 4, 12, 16, 24, 40] * 4)]
+    found = {r.doc_id: r.text for r in drop_lines(docs(*rows)).collect()}
+    assert all(found[i] == t.split("\n")[0] for i, t in rows)

@@ -99,8 +99,16 @@ class _Sample:
         self.last = lines[np.minimum(at + 4, len(lines) - 1)] if len(lines) else at
 
     def of(self, numbers: list[int]) -> tuple[list[int], bool]:
-        """The text's values, and whether there is nothing else in it than these lines."""
-        return np.unique(self.values).tolist(), False
+        """The values outside these lines, and whether the text has no more than them; its own values then."""
+        number = np.array(numbers)
+        # The first of the lines that a shingle doesn't end before; it is outside if that begins after it.
+        after = np.searchsorted(number, self.first)
+        inside = (after < len(number)) & (number[np.minimum(after, len(number) - 1)] <= self.last)
+        rest = np.unique(self.values[~inside])
+        if not len(rest) and self.whole:  # too few words for a shingle: all of them are one
+            left = self.words[~np.isin(self.lines, number)]
+            rest = (shingles(left, np.array([0, len(left)]), max(len(left), 1))[0] >> np.uint64(33)).astype(np.int32)
+        return (rest.tolist(), False) if len(rest) else (np.unique(self.values).tolist(), True)
 
 
 def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,9 +177,11 @@ def dropped_lines(docs: DataFrame, least_families: int = 10) -> DataFrame:
 
     A template recurs if ``least_families`` of the texts that hold it are
     unrelated to each other, however many copies hold it as well.  Texts are
-    related that share ``ALIKE`` of their shingles, estimated from the
-    ``SAMPLE`` smallest hashes, so a text that was copied and edited a
-    thousand times keeps its own lines.
+    related that share ``ALIKE`` of their shingles outside the template's own
+    lines, estimated from the ``SAMPLE`` smallest hashes, so a text that was
+    copied and edited a thousand times keeps its own lines, and a long passage
+    doesn't relate the texts that hold it.  Texts of nothing else are compared
+    as wholes with each other, and are not related to longer ones.
     """
     texts = docs.where(F.col("text").isNotNull()).select(*_digest(F.col("text")), "text")
     texts = materialize(texts.dropDuplicates(["h1", "h2"]), "texts")
