@@ -61,3 +61,13 @@ def test_a_long_passage_does_not_relate_its_holders(spark, docs):
     rows = [(i, sentence(rng, own) + "\n" + passage) for i, own in enumerate([3, 4, 12, 16, 24, 40] * 4)]
     found = {r.doc_id: r.text for r in drop_lines(docs(*rows)).collect()}
     assert all(found[i] == t.split("\n")[0] for i, t in rows)
+
+
+def test_long_lines_recur_in_two_unrelated_texts(spark, docs):
+    rng = random.Random(13)
+    long, short = sentence(rng, 24), sentence(rng, 8)
+    body = [sentence(rng, 12) for _ in range(10)]
+    rows = [(i, sentence(rng, 15) + "\n" + short + "\n" + long) for i in range(2)]
+    rows += [(10 + i, "\n".join([*body, sentence(rng, 3), sentence(random.Random(1), 30)])) for i in range(9)]
+    found = {r.doc_id: r.text for r in drop_lines(docs(*rows)).collect()}
+    assert all(found[i] == t.removesuffix("\n" + long) for i, t in rows)

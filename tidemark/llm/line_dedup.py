@@ -25,12 +25,14 @@ _DIGIT = re.compile(r"\d")
 VARIABLE = "<*>"
 #: Leading tokens in a path; tokens that a line must have; tokens from which on halves count too.
 DEPTH, LEAST_TOKENS, HALVES_FROM = 2, 3, 12
-#: Shingle hashes in a text's sample; the share of shingles from which on texts are related; texts of one part of a template's.
-SAMPLE, ALIKE, PART = 32, 0.5, 500
+#: Shingle hashes in a text's sample; the shares of shingles from which on texts are related, outside some lines and as wholes; texts of one part of a template's.
+SAMPLE, ALIKE, COPIES, PART = 64, 0.4, 0.8, 500
+#: Tokens stated from which on a template can't recur by chance.
+LONG = 20
 _NO_LIMIT = (1 << 31) - 1
 
-HELD = "h1 bigint, h2 bigint, key bigint, lines array<int>, sample array<int>, alone boolean, most int"
-_HELD = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("key", pa.int64()), ("lines", pa.list_(pa.int32())), ("sample", pa.list_(pa.int32())), ("alone", pa.bool_()), ("most", pa.int32())])
+HELD = "h1 bigint, h2 bigint, key bigint, long boolean, lines array<int>, sample array<int>, text array<int>, alone boolean, most int"
+_HELD = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("key", pa.int64()), ("long", pa.bool_()), ("lines", pa.list_(pa.int32())), ("sample", pa.list_(pa.int32())), ("text", pa.list_(pa.int32())), ("alone", pa.bool_()), ("most", pa.int32())])
 
 
 def template(line: str) -> list[str]:
@@ -39,8 +41,8 @@ def template(line: str) -> list[str]:
     return [VARIABLE if _DIGIT.search(t) else t for t in tokens] if _DIGIT.search(line) else tokens
 
 
-def template_keys(line: str) -> list[int]:
-    """Hashes of the whole template and, of longer lines, of its halves below the path; none for a line of few tokens."""
+def stated_keys(line: str) -> list[tuple[int, bool]]:
+    """Hashes of the whole template and, of longer lines, of its halves below the path, and whether it is a whole one that states ``LONG`` tokens; none for a line of few tokens."""
     tokens = template(line)
     n = len(tokens)
     if n < LEAST_TOKENS:
@@ -50,7 +52,12 @@ def template_keys(line: str) -> list[int]:
     if n >= HALVES_FROM:
         half = (n + DEPTH) // 2
         parts += [["<", *tokens[DEPTH:half]], [">", *tokens[half:]]]
-    return [xxhash.xxh3_64_intdigest("\x00".join([*path, *p]).encode("utf-8", "surrogatepass")) - (1 << 63) for p in parts]
+    long = sum(t != VARIABLE for t in tokens) >= LONG
+    return [(xxhash.xxh3_64_intdigest("\x00".join([*path, *p]).encode("utf-8", "surrogatepass")) - (1 << 63), long and p is tokens) for p in parts]
+
+
+def template_keys(line: str) -> list[int]:
+    return [key for key, _ in stated_keys(line)]
 
 
 def _path(tokens: list[str]) -> int:
@@ -60,7 +67,7 @@ def _path(tokens: list[str]) -> int:
 def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each line that has keys: the text's digest, the line's number and its path."""
     for batch in batches:
-        h1, h2, number, path = [], [], [], []
+        h1, h2, number, path, long = [], [], [], [], []
         for one, two, text in zip(batch.column("h1").to_pylist(), batch.column("h2").to_pylist(), texts_of(batch.column("text")), strict=True):
             for j, line in enumerate(text.split("\n")):
                 tokens = template(line)
@@ -69,7 +76,8 @@ def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     h2.append(two)
                     number.append(j)
                     path.append(_path(tokens))
-        yield pa.RecordBatch.from_arrays([pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(number, pa.int32()), pa.array(path, pa.int64())], names=["h1", "h2", "line", "path"])
+                    long.append(len(tokens) >= LONG)
+        yield pa.RecordBatch.from_arrays([pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(number, pa.int32()), pa.array(path, pa.int64()), pa.array(long, pa.bool_())], names=["h1", "h2", "line", "path", "long"])
 
 
 def _line_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -98,8 +106,8 @@ class _Sample:
         self.first = lines[at] if len(lines) else at
         self.last = lines[np.minimum(at + 4, len(lines) - 1)] if len(lines) else at
 
-    def of(self, numbers: list[int]) -> tuple[list[int], bool]:
-        """The values outside these lines, and whether the text has no more than them; its own values then."""
+    def of(self, numbers: list[int]) -> tuple[list[int], list[int], bool]:
+        """The values outside these lines, all values, and whether the text has no more than these lines; the first are all values then."""
         number = np.array(numbers)
         # The first of the lines that a shingle doesn't end before; it is outside if that begins after it.
         after = np.searchsorted(number, self.first)
@@ -108,7 +116,8 @@ class _Sample:
         if not len(rest) and self.whole:  # too few words for a shingle: all of them are one
             left = self.words[~np.isin(self.lines, number)]
             rest = (shingles(left, np.array([0, len(left)]), max(len(left), 1))[0] >> np.uint64(33)).astype(np.int32)
-        return (rest.tolist(), False) if len(rest) else (np.unique(self.values).tolist(), True)
+        every = np.unique(self.values).tolist()
+        return (rest.tolist(), every, False) if len(rest) else (every, every, True)
 
 
 def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,26 +133,33 @@ def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i, text in enumerate(part.column("text").to_pylist()):
                 split, keys = text.split("\n"), {}
                 for j in sorted(active[i]):
-                    for k in template_keys(split[j]):
-                        keys.setdefault(k, []).append(j)
+                    for k in stated_keys(split[j]):
+                        numbers = keys.setdefault(k, [])
+                        if numbers[-1:] != [j]:
+                            numbers.append(j)
                 sample = _Sample(hashes[bounds[i] : bounds[i + 1]], lines[bounds[i] : bounds[i + 1]], made[begins[i] : begins[i + 1]])
                 known: dict[tuple, tuple] = {}
-                for k, numbers in keys.items():
+                for (k, long), numbers in keys.items():
                     if (t := tuple(numbers)) not in known:
                         known[t] = sample.of(numbers)
-                    rows.append((ones[i], twos[i], k, numbers, *known[t], sample.limit))
+                    rows.append((ones[i], twos[i], k, long, numbers, *known[t], sample.limit))
             yield pa.RecordBatch.from_pylist([dict(zip(_HELD.names, r, strict=True)) for r in rows], _HELD)
 
 
-def related(one: tuple[frozenset, int, bool], two: tuple[frozenset, int, bool]) -> bool:
-    """Whether two samples (values, limit, alone) come from texts that share at least ``ALIKE`` of their shingles."""
-    (a, most_a, alone_a), (b, most_b, alone_b) = one, two
-    if alone_a != alone_b or a.isdisjoint(b):
-        return False
+def _share(a: frozenset, b: frozenset, most_a: int, most_b: int) -> float:
+    """The estimated share of shingles that two samples have in common."""
+    if a.isdisjoint(b):
+        return 0.0
     if most_a != most_b:
         limit = min(most_a, most_b)
         a, b = frozenset(x for x in a if x <= limit), frozenset(x for x in b if x <= limit)
-    return len(a & b) >= ALIKE * len(a | b)
+    return len(a & b) / max(1, len(a | b))
+
+
+def related(one: tuple[frozenset, frozenset, int, bool], two: tuple[frozenset, frozenset, int, bool]) -> bool:
+    """Whether two samples (values outside some lines, all values, limit, alone) come from related texts."""
+    (a, all_a, most_a, alone_a), (b, all_b, most_b, alone_b) = one, two
+    return (alone_a == alone_b and _share(a, b, most_a, most_b) >= ALIKE) or _share(all_a, all_b, most_a, most_b) >= COPIES
 
 
 def _unrelated(names: list[str]):
@@ -159,7 +175,7 @@ def _unrelated(names: list[str]):
                 if here != at:
                     at, taken = here, []
                 if len(taken) < r["least"]:
-                    made = (frozenset(r["sample"]), r["most"], r["alone"])
+                    made = (frozenset(r["sample"]), frozenset(r["text"]), r["most"], r["alone"])
                     if not any(related(made, t) for t in taken):
                         taken.append(made)
                         keep.append(i)
@@ -172,27 +188,31 @@ def _digest(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("h1"), F.xxhash64(text, F.lit(1)).alias("h2")]
 
 
-def dropped_lines(docs: DataFrame, least_families: int = 10) -> DataFrame:
+def dropped_lines(docs: DataFrame, least_families: int = 10, least_families_long: int = 2) -> DataFrame:
     """``h1``, ``h2`` (a text's digest) and ``lines``: the numbers of its lines whose template recurs.
 
-    A template recurs if ``least_families`` of the texts that hold it are
+    A template recurs if ``least_families`` of the texts that hold it
+    (``least_families_long`` where it is a whole line's and states at least
+    ``LONG`` tokens) are
     unrelated to each other, however many copies hold it as well.  Texts are
     related that share ``ALIKE`` of their shingles outside the template's own
     lines, estimated from the ``SAMPLE`` smallest hashes, so a text that was
     copied and edited a thousand times keeps its own lines, and a long passage
     doesn't relate the texts that hold it.  Texts of nothing else are compared
-    as wholes with each other, and are not related to longer ones.
+    as wholes with each other.  Texts that share ``COPIES`` of all their
+    shingles are related in any case.
     """
+    least = F.when(F.col("long"), least_families_long).otherwise(least_families)
     texts = docs.where(F.col("text").isNotNull()).select(*_digest(F.col("text")), "text")
     texts = materialize(texts.dropDuplicates(["h1", "h2"]), "texts")
     # Only a path that enough texts have can hold a template that recurs.
-    lines = materialize(texts.mapInArrow(_paths, "h1 bigint, h2 bigint, line int, path bigint"), "lines")
-    common = lines.groupBy("path", "h1", "h2").agg(F.lit(1).alias("one")).groupBy("path").agg(F.count("*").alias("texts")).where(F.col("texts") >= least_families)
+    lines = materialize(texts.mapInArrow(_paths, "h1 bigint, h2 bigint, line int, path bigint, long boolean"), "lines")
+    common = lines.groupBy("path", "long", "h1", "h2").agg(F.lit(1).alias("one")).groupBy("path", "long").agg(F.count("*").alias("texts")).where(F.col("texts") >= least)
     active = lines.join(common.select("path"), "path").groupBy("h1", "h2").agg(F.collect_list("line").alias("active"))
-    held = materialize(texts.join(active, ["h1", "h2"]).mapInArrow(_held, HELD), "held").withColumn("least", F.lit(least_families))
+    held = materialize(texts.join(active, ["h1", "h2"]).mapInArrow(_held, HELD), "held").withColumn("least", least)
     sizes = held.groupBy("key", "least").agg(F.count("*").alias("texts")).where("texts >= least").select("key", F.ceil(F.col("texts") / F.lit(PART)).alias("parts"))
-    rows = held.join(sizes, "key").select("key", F.pmod("h2", "parts").alias("part"), "h1", "h2", "sample", "alone", "most", "least")
-    fields = "key bigint, part bigint, h1 bigint, h2 bigint, sample array<int>, alone boolean, most int, least int"
+    rows = held.join(sizes, "key").select("key", F.pmod("h2", "parts").alias("part"), "h1", "h2", "sample", "text", "alone", "most", "least")
+    fields = "key bigint, part bigint, h1 bigint, h2 bigint, sample array<int>, text array<int>, alone boolean, most int, least int"
     # First within parts of a template's texts, then among those that each part has kept.
     some = rows.repartition("key", "part").sortWithinPartitions("key", "part", "h1", "h2").mapInArrow(_unrelated(["key", "part"]), fields)
     best = some.repartition("key").sortWithinPartitions("key", "h1", "h2").mapInArrow(_unrelated(["key"]), fields)
@@ -201,14 +221,14 @@ def dropped_lines(docs: DataFrame, least_families: int = 10) -> DataFrame:
     return hits.groupBy("h1", "h2").agg(F.collect_set("line").alias("lines"))
 
 
-def drop_lines(docs: DataFrame, least_families: int = 10) -> DataFrame:
+def drop_lines(docs: DataFrame, least_families: int = 10, least_families_long: int = 2) -> DataFrame:
     """``docs`` with recurring lines taken out of ``text``, and ``n_dropped``; all rows and columns stay.
 
     Lines end at ``\\n``.  A null text stays null, an empty one empty; a text
     of recurring lines only becomes empty.  Equal texts lose the same lines.  A
     column of ``docs`` named ``n_dropped`` is replaced.
     """
-    gone = materialize(dropped_lines(docs, least_families), "dropped")
+    gone = materialize(dropped_lines(docs, least_families, least_families_long), "dropped")
     text = F.col("text")
     keyed = docs.drop("n_dropped").withColumns({"__h1": F.xxhash64(text), "__h2": F.xxhash64(text, F.lit(1))})
     gone = gone.select(F.col("h1").alias("__h1"), F.col("h2").alias("__h2"), F.col("lines").alias("__lines"))
