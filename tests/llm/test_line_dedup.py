@@ -71,3 +71,17 @@ def test_long_lines_recur_in_two_unrelated_texts(spark, docs):
     rows += [(10 + i, "\n".join([*body, sentence(rng, 3), sentence(random.Random(1), 30)])) for i in range(9)]
     found = {r.doc_id: r.text for r in drop_lines(docs(*rows)).collect()}
     assert all(found[i] == t.removesuffix("\n" + long) for i, t in rows)
+
+
+def test_templates_with_words_as_fields_are_merged(spark, docs):
+    rng = random.Random(17)
+    word = lambda: sentence(rng, 1)
+    own, rows = [sentence(rng, 9) for _ in range(12)], []
+    for i in range(12):
+        long = f"this page was last seen by {word()} who came here from the {word()} list"
+        rows.append((i, "\n".join([own[i], f"Posted by {word() if i % 3 else i} in {word()}", long, f"key {'abcdefab'[i % 8 :] * 9} of it"])))
+    rows += [(100 + i, f"Posted {word()} {word()} {word()} {word()}") for i in range(12)]  # these agree in too little
+    found = {r.doc_id: r.text for r in drop_lines(docs(*rows)).collect()}
+    assert [found[i] for i in range(12)] == own
+    assert all(found[i] == t for i, t in rows[12:])
+    assert template("key deadbeef DEADBEEF facade") == ["key", "<*>", "<*>", "facade"]

@@ -1,9 +1,11 @@
 """Line dedup by a log-template tree.
 
 A line's path in the tree is its number of tokens and its leading tokens; below
-that, fields that look variable (with a digit, or hex) become ``<*>``.  What is
-left is the line's template.  Lines on one path whose front or back halves
-agree count as one template as well, with the other half variable.  Templates
+that, fields that look variable (with a digit, or eight or more hex letters)
+become ``<*>``.  What is left is the line's template.  Lines on one path that
+agree in most tokens count as one template as well, with the others variable:
+short lines where all but one or two tokens agree and these are ``LEAST_AGREE``
+of all, longer ones where two of four quarters below the path agree.  Templates
 that recur in unrelated documents are dropped.
 """
 
@@ -11,6 +13,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -21,37 +24,45 @@ from pyspark.sql import functions as F
 from tidemark.llm._common import materialize, texts_of
 from tidemark.llm.hashing import shingles, text_chunks, words
 
-_DIGIT = re.compile(r"\d")
+_FIELD = re.compile(r"\d|(?<!\S)(?:[a-f]{8,}|[A-F]{8,})(?!\S)")
 VARIABLE = "<*>"
-#: Leading tokens in a path; tokens that a line must have; tokens from which on halves count too.
-DEPTH, LEAST_TOKENS, HALVES_FROM = 2, 3, 12
+#: Leading tokens in a path; tokens that a line must have; tokens from which on quarters count, too.
+DEPTH, LEAST_TOKENS, QUARTERS_FROM = 2, 3, 12
+#: Share of a short line's tokens, in hundredths, that agree where one or two don't.
+LEAST_AGREE = 60
 #: Shingle hashes in a text's sample; the shares of shingles from which on texts are related, outside some lines and as wholes; texts of one part of a template's.
 SAMPLE, ALIKE, COPIES, PART = 64, 0.4, 0.8, 500
 #: Tokens stated from which on a template can't recur by chance.
 LONG = 20
 _NO_LIMIT = (1 << 31) - 1
 
-HELD = "h1 bigint, h2 bigint, key bigint, long boolean, lines array<int>, sample array<int>, text array<int>, alone boolean, most int"
-_HELD = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("key", pa.int64()), ("long", pa.bool_()), ("lines", pa.list_(pa.int32())), ("sample", pa.list_(pa.int32())), ("text", pa.list_(pa.int32())), ("alone", pa.bool_()), ("most", pa.int32())])
+SAMPLED = "key bigint, part bigint, h1 bigint, h2 bigint, sample array<int>, text array<int>, alone boolean, most int, least int"
+_SAMPLED = pa.schema([("key", pa.int64()), ("part", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("sample", pa.list_(pa.int32())), ("text", pa.list_(pa.int32())), ("alone", pa.bool_()), ("most", pa.int32()), ("least", pa.int32())])
 
 
 def template(line: str) -> list[str]:
     """The line's tokens, variable ones generalised."""
     tokens = line.split()
-    return [VARIABLE if _DIGIT.search(t) else t for t in tokens] if _DIGIT.search(line) else tokens
+    return [VARIABLE if _FIELD.search(t) else t for t in tokens] if _FIELD.search(line) else tokens
 
 
 def stated_keys(line: str) -> list[tuple[int, bool]]:
-    """Hashes of the whole template and, of longer lines, of its halves below the path, and whether it is a whole one that states ``LONG`` tokens; none for a line of few tokens."""
+    """Hashes of the whole template and of the parts that may stand for it, and whether it is a whole one that states ``LONG`` tokens; none for a line of few tokens."""
     tokens = template(line)
     n = len(tokens)
     if n < LEAST_TOKENS:
         return []
     path = [str(n), *tokens[:DEPTH]]
     parts = [tokens]
-    if n >= HALVES_FROM:
-        half = (n + DEPTH) // 2
-        parts += [["<", *tokens[DEPTH:half]], [">", *tokens[half:]]]
+    if n >= QUARTERS_FROM:
+        edges = [DEPTH + (n - DEPTH) * i // 4 for i in range(5)]
+        quarters = [tokens[a:b] for a, b in zip(edges, edges[1:], strict=False)]
+        parts += [[f"<{i}{j}", *quarters[i], *quarters[j]] for i, j in combinations(range(4), 2)]
+    else:
+        open_ = [i for i in range(DEPTH, n) if tokens[i] != VARIABLE]
+        for count in (1, 2):
+            if 100 * (n - count) >= LEAST_AGREE * n and n - count >= LEAST_TOKENS and len(open_) > count:
+                parts += [[VARIABLE if i in out else t for i, t in enumerate(tokens)] for out in combinations(open_, count)]
     long = sum(t != VARIABLE for t in tokens) >= LONG
     return [(xxhash.xxh3_64_intdigest("\x00".join([*path, *p]).encode("utf-8", "surrogatepass")) - (1 << 63), long and p is tokens) for p in parts]
 
@@ -61,7 +72,9 @@ def template_keys(line: str) -> list[int]:
 
 
 def _path(tokens: list[str]) -> int:
-    return xxhash.xxh3_64_intdigest("\x00".join([str(len(tokens)), *tokens[:DEPTH]]).encode("utf-8", "surrogatepass")) - (1 << 63)
+    """The path of a line with these tokens, as they are."""
+    lead = [VARIABLE if _FIELD.search(t) else t for t in tokens[:DEPTH]]
+    return xxhash.xxh3_64_intdigest("\x00".join([str(len(tokens)), *lead]).encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
 def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,7 +83,7 @@ def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h1, h2, number, path, long = [], [], [], [], []
         for one, two, text in zip(batch.column("h1").to_pylist(), batch.column("h2").to_pylist(), texts_of(batch.column("text")), strict=True):
             for j, line in enumerate(text.split("\n")):
-                tokens = template(line)
+                tokens = line.split()
                 if len(tokens) >= LEAST_TOKENS:
                     h1.append(one)
                     h2.append(two)
@@ -120,30 +133,44 @@ class _Sample:
         return (rest.tolist(), every, False) if len(rest) else (every, every, True)
 
 
-def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each text and key of its lines ``active``: the digest, the lines, and a sample of the text."""
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each text and key of its lines ``active``: the digest, the key, whether it is ``long``, and the lines."""
     for batch in batches:
-        column = batch.column("text")
-        for first, last, data, offsets in text_chunks(column):
+        h1, h2, key, long, lines = [], [], [], [], []
+        for one, two, active, text in zip(*(batch.column(c).to_pylist() for c in ("h1", "h2", "active")), texts_of(batch.column("text")), strict=True):
+            split, keys = text.split("\n"), {}
+            for j in sorted(active):
+                for k in stated_keys(split[j]):
+                    numbers = keys.setdefault(k, [])
+                    if numbers[-1:] != [j]:
+                        numbers.append(j)
+            for (k, whole), numbers in keys.items():
+                h1.append(one)
+                h2.append(two)
+                key.append(k)
+                long.append(whole)
+                lines.append(numbers)
+        yield pa.RecordBatch.from_arrays([pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(key, pa.int64()), pa.array(long, pa.bool_()), pa.array(lines, pa.list_(pa.int32()))], names=["h1", "h2", "key", "long", "lines"])
+
+
+def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each text and key ``wanted``, with a sample of the text."""
+    for batch in batches:
+        for first, last, data, offsets in text_chunks(batch.column("text")):
             hashes, bounds, lines = _line_words(data, offsets)
             made, begins = shingles(hashes, bounds)
             rows: list[tuple] = []
             part = batch.slice(first, last - first)
-            ones, twos, active = (part.column(c).to_pylist() for c in ("h1", "h2", "active"))
-            for i, text in enumerate(part.column("text").to_pylist()):
-                split, keys = text.split("\n"), {}
-                for j in sorted(active[i]):
-                    for k in stated_keys(split[j]):
-                        numbers = keys.setdefault(k, [])
-                        if numbers[-1:] != [j]:
-                            numbers.append(j)
+            ones, twos, wanted = (part.column(c).to_pylist() for c in ("h1", "h2", "wanted"))
+            for i, keys in enumerate(wanted):
                 sample = _Sample(hashes[bounds[i] : bounds[i + 1]], lines[bounds[i] : bounds[i + 1]], made[begins[i] : begins[i + 1]])
                 known: dict[tuple, tuple] = {}
-                for (k, long), numbers in keys.items():
-                    if (t := tuple(numbers)) not in known:
-                        known[t] = sample.of(numbers)
-                    rows.append((ones[i], twos[i], k, long, numbers, *known[t], sample.limit))
-            yield pa.RecordBatch.from_pylist([dict(zip(_HELD.names, r, strict=True)) for r in rows], _HELD)
+                for k in keys:
+                    if (t := tuple(k["lines"])) not in known:
+                        known[t] = sample.of(k["lines"])
+                    rows.append((k["key"], k["part"], ones[i], twos[i], *known[t], sample.limit, k["least"]))
+            columns = zip(*rows, strict=True) if rows else [()] * len(_SAMPLED)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SAMPLED, strict=True)], schema=_SAMPLED)
 
 
 def _share(a: frozenset, b: frozenset, most_a: int, most_b: int) -> float:
@@ -193,8 +220,8 @@ def dropped_lines(docs: DataFrame, least_families: int = 10, least_families_long
 
     A template recurs if ``least_families`` of the texts that hold it
     (``least_families_long`` where it is a whole line's and states at least
-    ``LONG`` tokens) are
-    unrelated to each other, however many copies hold it as well.  Texts are
+    ``LONG`` tokens) are unrelated to each other, however many copies hold it
+    as well.  Texts are
     related that share ``ALIKE`` of their shingles outside the template's own
     lines, estimated from the ``SAMPLE`` smallest hashes, so a text that was
     copied and edited a thousand times keeps its own lines, and a long passage
@@ -204,20 +231,24 @@ def dropped_lines(docs: DataFrame, least_families: int = 10, least_families_long
     """
     least = F.when(F.col("long"), least_families_long).otherwise(least_families)
     texts = docs.where(F.col("text").isNotNull()).select(*_digest(F.col("text")), "text")
-    texts = materialize(texts.dropDuplicates(["h1", "h2"]), "texts")
+    texts = materialize(texts.dropDuplicates(["h1", "h2"]), "texts", free=True)
     # Only a path that enough texts have can hold a template that recurs.
     lines = materialize(texts.mapInArrow(_paths, "h1 bigint, h2 bigint, line int, path bigint, long boolean"), "lines")
     common = lines.groupBy("path", "long", "h1", "h2").agg(F.lit(1).alias("one")).groupBy("path", "long").agg(F.count("*").alias("texts")).where(F.col("texts") >= least)
     active = lines.join(common.select("path"), "path").groupBy("h1", "h2").agg(F.collect_list("line").alias("active"))
-    held = materialize(texts.join(active, ["h1", "h2"]).mapInArrow(_held, HELD), "held").withColumn("least", least)
-    sizes = held.groupBy("key", "least").agg(F.count("*").alias("texts")).where("texts >= least").select("key", F.ceil(F.col("texts") / F.lit(PART)).alias("parts"))
-    rows = held.join(sizes, "key").select("key", F.pmod("h2", "parts").alias("part"), "h1", "h2", "sample", "text", "alone", "most", "least")
-    fields = "key bigint, part bigint, h1 bigint, h2 bigint, sample array<int>, text array<int>, alone boolean, most int, least int"
+    keyed = materialize(texts.join(active, ["h1", "h2"]).mapInArrow(_keyed, "h1 bigint, h2 bigint, key bigint, long boolean, lines array<int>"), "keyed", free=True)
+    sizes = keyed.groupBy("key", least.alias("least")).agg(F.count("*").alias("texts"), F.bit_xor(F.xxhash64("h1", "h2", "lines")).alias("holders")).where("texts >= least")
+    # Of keys that the same lines hold, one is enough: the one that needs the fewest families.
+    sizes = sizes.groupBy("texts", "holders").agg(F.min(F.struct("least", "key")).alias("k")).select("k.*", "texts")
+    sizes = sizes.select("key", "least", F.ceil(F.col("texts") / F.lit(PART)).alias("parts"))
+    wanted = keyed.join(sizes, "key").select("h1", "h2", F.struct("key", F.pmod("h2", "parts").alias("part"), "least", "lines").alias("k"))
+    wanted = materialize(wanted.groupBy("h1", "h2").agg(F.collect_list("k").alias("wanted")), "wanted", free=True)
+    rows = texts.join(wanted, ["h1", "h2"]).mapInArrow(_sampled, SAMPLED)
     # First within parts of a template's texts, then among those that each part has kept.
-    some = rows.repartition("key", "part").sortWithinPartitions("key", "part", "h1", "h2").mapInArrow(_unrelated(["key", "part"]), fields)
-    best = some.repartition("key").sortWithinPartitions("key", "h1", "h2").mapInArrow(_unrelated(["key"]), fields)
-    recurs = materialize(best.groupBy("key", "least").agg(F.count("*").alias("families")).where("families >= least").select("key"), "recurring")
-    hits = held.join(recurs, "key").select("h1", "h2", F.explode("lines").alias("line"))
+    some = rows.repartition("key", "part").sortWithinPartitions("key", "part", "h1", "h2").mapInArrow(_unrelated(["key", "part"]), SAMPLED)
+    best = some.repartition("key").sortWithinPartitions("key", "h1", "h2").mapInArrow(_unrelated(["key"]), SAMPLED)
+    recurs = materialize(best.groupBy("key", "least").agg(F.count("*").alias("families")).where("families >= least").select("key"), "recurring", free=True)
+    hits = keyed.join(recurs, "key").select("h1", "h2", F.explode("lines").alias("line"))
     return hits.groupBy("h1", "h2").agg(F.collect_set("line").alias("lines"))
 
 
@@ -228,7 +259,7 @@ def drop_lines(docs: DataFrame, least_families: int = 10, least_families_long: i
     of recurring lines only becomes empty.  Equal texts lose the same lines.  A
     column of ``docs`` named ``n_dropped`` is replaced.
     """
-    gone = materialize(dropped_lines(docs, least_families, least_families_long), "dropped")
+    gone = materialize(dropped_lines(docs, least_families, least_families_long), "dropped", free=True)
     text = F.col("text")
     keyed = docs.drop("n_dropped").withColumns({"__h1": F.xxhash64(text), "__h2": F.xxhash64(text, F.lit(1))})
     gone = gone.select(F.col("h1").alias("__h1"), F.col("h2").alias("__h2"), F.col("lines").alias("__lines"))
