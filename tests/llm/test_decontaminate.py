@@ -61,3 +61,15 @@ def test_a_large_benchmark_takes_several_passes(spark, docs, monkeypatch):
 def test_no_vocabulary():
     assert SeedIndex([], 20, 0.8).overlaps("anything at all") == []
     assert np.array_equal(SeedIndex([(1, ITEM)], 20, 0.8).items[0][1], np.arange(1, 26))
+
+
+def test_short_items_are_found_however_they_are_substituted():
+    from itertools import combinations
+
+    for n in range(8, 20):
+        item = " ".join(ITEM.split()[:n])
+        index, words = SeedIndex([(1, item)], 20, 0.8), item.split()
+        allowed = n - next(k for k in range(n + 1) if k >= 0.8 * n)
+        for out in combinations(range(n), allowed):
+            text = "pad " + " ".join("other" if i in out else w for i, w in enumerate(words)) + " tail"
+            assert {(i, start) for i, start, _, _ in index.overlaps(text)} == brute([(1, item)], text) != set(), (n, out)

@@ -22,6 +22,8 @@ from tidemark.llm.hashing import BASE, mix
 _TOKEN = re.compile(r"[^\W_]+")
 #: Masks of one weight; ones are compared (fixed values).
 MASKS = ("111111", "110110011", "1011010011", "11010001011")
+#: Windows of fewer tokens are also found by blocks of theirs, one more than may differ: one block always agrees whole.
+BLOCKS_BELOW = 16
 #: Items of fewer tokens are too short to tell a leak from chance.
 LEAST_TOKENS = 8
 #: Benchmark tokens that one pass over the texts holds in memory; a larger benchmark takes more passes.
@@ -39,18 +41,24 @@ def _offsets(mask: str) -> np.ndarray:
     return np.array([i for i, c in enumerate(mask) if c == "1"])
 
 
-def seeds(ids: np.ndarray, mask: int) -> np.ndarray:
+def seeds(ids: np.ndarray, mask: str) -> np.ndarray:
     """Hashes of the mask's tokens at every place where it fits."""
-    at = _offsets(MASKS[mask])
+    at = _offsets(mask)
     n = len(ids) - int(at[-1])
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out = np.full(n, mask + 1, np.uint64)
+    out = np.full(n, len(mask), np.uint64)
     for j in at:
         out = out * np.uint64(BASE) + ids[j : j + n]
     return mix(out)
 
 
+def blocks(width: int, share: float) -> tuple[int, int]:
+    """How many blocks a window of ``width`` tokens has, one more than may differ, and the least tokens of a block."""
+    differ = next(d for d in range(width, -1, -1) if width - d >= share * width)
+    return min(differ + 1, width), max(1, width // (differ + 1))
+
+
 class SeedIndex:
     """Seeds of some benchmark items."""
 
@@ -63,13 +71,21 @@ class SeedIndex:
             if len(words) >= LEAST_TOKENS:
                 self.items.append((item_id, np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.uint64)))
         self.table = []
-        for mask in range(len(MASKS)):
-            found = [(seeds(ids, mask), n) for n, (_, ids) in enumerate(self.items)]
-            values = np.concatenate([s for s, _ in found]) if found else np.zeros(0, np.uint64)
-            item = np.concatenate([np.full(len(s), n) for s, n in found]) if found else np.zeros(0, np.int64)
-            place = np.concatenate([np.arange(len(s)) for s, _ in found]) if found else np.zeros(0, np.int64)
+        every = [(mask, [(n, seeds(ids, mask), None) for n, (_, ids) in enumerate(self.items)]) for mask in MASKS]
+        short: dict[int, list] = {}
+        for n, (_, ids) in enumerate(self.items):
+            width = min(window, len(ids))
+            if width < BLOCKS_BELOW:
+                count, size = blocks(width, share)
+                # Blocks of a window at any place; of a shorter item, its own.
+                at = np.unique(np.arange(len(ids) - width + 1)[:, None] + np.arange(count) * size)
+                short.setdefault(size, []).append((n, seeds(ids, "1" * size)[at], at))
+        for mask, found in [*every, *(("1" * size, rows) for size, rows in sorted(short.items()))]:
+            values = np.concatenate([v for _, v, _ in found]) if found else np.zeros(0, np.uint64)
+            item = np.concatenate([np.full(len(v), n) for n, v, _ in found]) if found else np.zeros(0, np.int64)
+            place = np.concatenate([np.arange(len(v)) if at is None else at for _, v, at in found]) if found else np.zeros(0, np.int64)
             order = np.argsort(values, kind="stable")
-            self.table.append((values[order], item[order], place[order]))
+            self.table.append((mask, values[order], item[order], place[order]))
 
     def overlaps(self, text: str) -> list[tuple[int, int, int, int]]:
         """``(item_id, first token, tokens, equal tokens)`` of verified overlaps, one at most for each item and alignment."""
@@ -77,8 +93,8 @@ class SeedIndex:
         ids = np.fromiter((known(w, 0) for w in tokens_of(text)), np.uint64)
         here = ids > 0
         lines: set[tuple[int, int]] = set()
-        for mask, (values, item, place) in enumerate(self.table):
-            at = _offsets(MASKS[mask])
+        for mask, values, item, place in self.table:
+            at = _offsets(mask)
             n = len(ids) - int(at[-1])
             if n <= 0 or not len(values):
                 continue
@@ -88,7 +104,7 @@ class SeedIndex:
             spots = np.flatnonzero(full)
             if not len(spots):
                 continue
-            out = np.full(len(spots), mask + 1, np.uint64)
+            out = np.full(len(spots), len(mask), np.uint64)
             for j in at:
                 out = out * np.uint64(BASE) + ids[spots + j]
             out = mix(out)
