@@ -16,13 +16,10 @@ WORDS, BYTES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.pa
 
 def whole(path, text):
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return t.encode(text, add_special_tokens=False).ids
 
 
 ENCODERS = {p: (WordEncoder(p, k), Tokenizer.from_file(p)) for p, k in ((WORDS, False), (BYTES, True))}
-for _, _t in ENCODERS.values():
-    _t.encode_special_tokens = True
 
 
 @pytest.mark.parametrize("path", [WORDS, BYTES])
@@ -33,6 +30,25 @@ def test_pieces_encode_as_the_whole_text(path, text):
     assert np.frombuffer(ours.encode_batch([text])[0], "<u4").tolist() == theirs.encode(text, add_special_tokens=False).ids
 
 
+SPECIAL = st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext|", " ", "  ", "\n", "a", "Ab.", "\u0338", "é"])
+
+
+@pytest.mark.parametrize("path", [WORDS, BYTES])
+@settings(max_examples=200, deadline=None)
+@given(st.lists(SPECIAL, max_size=8).map("".join))
+def test_strings_of_special_tokens_are_what_the_library_takes_them_for(path, text):
+    ours, theirs = ENCODERS[path]
+    assert np.frombuffer(ours.encode_batch([text])[0], "<u4").tolist() == theirs.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("path", [WORDS, BYTES])
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.one_of(st.characters(max_codepoint=0x24F), st.sampled_from(list(" 's\u0130\u0131\u00aa\u00b5\u00d7\u1e9e\u0301"))), max_size=25))
+def test_latin_words_encode_as_the_library_does(path, text):
+    ours, theirs = ENCODERS[path]
+    assert np.frombuffer(ours.encode_batch([text])[0], "<u4").tolist() == theirs.encode(text, add_special_tokens=False).ids
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 5000), max_size=60), st.sampled_from([1, 8, 2048]))
 def test_every_id_lies_in_one_piece_and_no_window_is_padded(sizes, pool):
@@ -73,7 +89,7 @@ def test_steps_hold_one_window_length_and_equal_tokens():
 
 
 def test_query_rows(spark, docs):
-    texts = ["", None, "one two", "one two", "word " * 9000, "x", None]
+    texts = ["", None, "one two", "one two", "word " * 9000, "x", None, "stop <|endoftext|>  here"]
     rows = piece_digests(pack(docs(*texts).selectExpr("*", "1 AS ids", "2 AS start"), WORDS)).collect()
     found = defaultdict(list)
     for r in rows:

@@ -88,7 +88,6 @@ def test_decontamination(spark, results):
 def test_packing(results):
     before, after, _ = results["packing"]
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     pieces = defaultdict(list)
     for p in after:
         pieces[p.doc_id].append((p.start, p.length))

@@ -53,7 +53,6 @@ def test_store(spark, docs, lanes):
     write_tokens(docs(*rows).selectExpr("*", "1 AS file", "2 AS ids"), path, PATH, lanes=lanes)
     found = sorted(read_tokens(spark, path, lanes).collect(), key=lambda r: r.start)
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     start = 0
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
     assert [r.doc_id for r in found] == [i for i, _ in order]

@@ -3,42 +3,58 @@
 from __future__ import annotations
 
 import re
-import struct
+from array import array
+from collections.abc import Iterable
 from itertools import islice
+from operator import attrgetter
 
 from tidemark.llm._common import REMEMBERED, UNICODE_SPACE, split_words
 
 #: Words remembered by a Python worker, for each tokenizer, at most.
-WORDS_HELD = 800_000
+WORDS_HELD = 500_000
 
 #: A byte-level vocabulary keeps white space: one space goes with the word after it, the rest stands alone.
 #: Its blank is written Ġ, as in all byte-level vocabularies (fixed value).
 _BLANK = chr(288)
 _SPACED = re.compile(f" ?[^{UNICODE_SPACE}]+|[{UNICODE_SPACE}]+(?![^{UNICODE_SPACE}])|[{UNICODE_SPACE}]+")
 
-#: How both vocabularies cut a piece of printable ASCII (fixed values); the second lower-cases it and takes digits one by one.
-_PLAIN = re.compile(r"[!-~]+| [!-~]+")
+#: How both vocabularies cut a piece of printable ASCII and Latin letters (fixed values); the second lower-cases it and takes digits one by one.
+_LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
+_PLAIN = re.compile(f" ?[!-~{_LATIN}]+")
 _PLAIN_CUTS = {
-    True: re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+"),
-    False: re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+"),
+    True: re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LATIN}]+| ?[0-9]+| ?[^\s0-9{_LATIN}]+"),
+    False: re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LATIN}]+|[0-9]|[^\s0-9{_LATIN}]+"),
 }
 
 
+def _byte_letters() -> str:
+    """What byte-level vocabularies write for each byte: printable Latin-1 characters stand for themselves, the others for those from 256 on, in turn."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = (b for b in range(256) if b not in own)
+    shown = {b: 256 + n for n, b in enumerate(others)}
+    return "".join(chr(shown.get(b, b)) for b in range(256))
+
+
+_LETTERS = _byte_letters()
+_ids_of = attrgetter("id")
+
+
 class WordEncoder:
-    """The ids that ``tokenizers`` gives a text, as little-endian uint32 bytes.
+    """The ids that ``tokenizers`` gives a text with ``add_special_tokens=False``, as little-endian uint32 bytes.
 
     No token of these tokenizers crosses the cuts used here (``keeps_space``:
     before the space that leads a word, and around other white space;
     otherwise: at white space, which is dropped), so a text's ids are those of
-    its pieces in turn, and a piece is encoded when it is first met.  Strings
-    of special tokens within a text are ordinary text.
+    its pieces in turn, and a piece is encoded when it is first met.  A text
+    that holds the string of a special token goes to the library whole, which
+    takes that string for the token.
     """
 
     def __init__(self, path: str, keeps_space: bool):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
+        self._specials = [t.content.lower() for t in self._tokenizer.get_added_tokens_decoder().values()]
         self._pieces = _SPACED.findall if keeps_space else split_words
         self._model = self._tokenizer.model
         self._keeps_space, self._cut = keeps_space, _PLAIN_CUTS[keeps_space].findall
@@ -48,6 +64,9 @@ class WordEncoder:
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         out = []
         for text in texts:
+            if any(s in text or s in text.lower() for s in self._specials if s[0] in text):
+                out.append(_packed(self._tokenizer.encode(text, add_special_tokens=False).ids))
+                continue
             pieces = self._pieces(text)
             try:
                 out.append(b"".join(map(self._held.__getitem__, pieces)))
@@ -72,12 +91,23 @@ class WordEncoder:
 
     def _plain(self, piece: str) -> bytes:
         """Straight to the tokenizer's model, without the offsets that its encodings carry."""
-        piece = piece if self._keeps_space else piece.lower()
-        return _packed([t.id for part in self._cut(piece) for t in self._model.tokenize(part.replace(" ", _BLANK))])
+        if not self._keeps_space:
+            piece = piece.lower()
+        tokenize = self._model.tokenize
+        if piece.isalpha():
+            return _packed(map(_ids_of, tokenize(_shown(piece))))
+        return _packed([t.id for part in self._cut(piece) for t in tokenize(_shown(part))])
+
+
+def _shown(part: str) -> str:
+    """A part as the vocabulary writes it."""
+    if part.isascii():
+        return part.replace(" ", _BLANK)
+    return part.encode().decode("latin-1").translate(_LETTERS)
 
 
-def _packed(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+def _packed(ids: Iterable[int]) -> bytes:
+    return array("I", ids).tobytes()
 
 
 _ENCODERS: dict[tuple[str, bool], WordEncoder] = {}
