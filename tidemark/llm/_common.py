@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import gc
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,11 +21,18 @@ _SPLIT_ONLY = ("\x1c", "\x1d", "\x1e", "\x1f")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, which all executors see; only where the session names none, one of our own."""
+    """The folder of ``spark.checkpoint.dir``, which all executors see.
+
+    Where the session names none, a local session gets a temporary one; a
+    cluster's executors couldn't see each other's, so there it is an error.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isEmpty():
+            master = spark.sparkContext.master
+            if master != "local" and not master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
             held = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = held.get()
@@ -96,6 +105,27 @@ def forget() -> None:
         held.clear()
 
 
+def tidy() -> None:
+    """Give memory that this process has freed back to the system; an idle worker would hold it beside the one that works."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run``, a function over the batches of a partition, that tidies up at its end."""
+
+    @functools.wraps(run)
+    def inner(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            tidy()
+
+    return inner
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, train: Column, per_class: int, seed: int) -> DataFrame:
     """At most ``per_class`` labelled documents of either class: ``doc_id``, ``text``, ``label``.
 

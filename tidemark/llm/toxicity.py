@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import bucket, texts_of, training_rows, whole_text
+from tidemark.llm._common import bucket, texts_of, tidied, training_rows
 
 _WORD = re.compile(r"[^\W\d_]+")
 #: Hash space of the terms, the lengths of character n-grams, and those of word beginnings.
@@ -25,6 +25,7 @@ MASK, GRAMS, BEGINNINGS = (1 << 20) - 1, (3, 4, 5), (6, 7, 8, 9)
 TWICE = 0x5BD1E
 #: Words remembered by a Python worker at most.
 WORDS_HELD = 400_000
+_NONE: frozenset[int] = frozenset()
 
 
 def word_terms(word: str) -> set[int]:
@@ -49,6 +50,7 @@ def text_terms(text: str) -> set[int]:
     return once | {t ^ TWICE for t in twice}
 
 
+@tidied
 def _terms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(label, the document's distinct term hashes as little-endian int32)."""
     for batch in batches:
@@ -125,44 +127,61 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column, per_class: i
     return FactorizationMachine.fit([np.frombuffer(r["terms"], "<i4") for r in rows], y, prior=0.3)
 
 
-def _scorer(model: FactorizationMachine, name: str = "score"):
+def _text_scorer(model: FactorizationMachine):
+    """A function from texts (null: empty) to scores, which remembers words."""
     place = {int(t): i for i, t in enumerate(model.terms)}
     known = set(place) | {t ^ TWICE for t in place}
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, frozenset[int]] = {}  # of a word's terms, those that the model knows by themselves or twice
-        for batch in batches:
-            out = []
-            for text in texts_of(batch.column("text")):
-                once: set[int] = set()
-                twice: set[int] = set()
-                for word in set(_WORD.findall(text.lower())):
-                    hit = held.get(word)
-                    if hit is None:
-                        if len(held) >= WORDS_HELD:
-                            held.clear()
-                        hit = held[word] = frozenset(known & word_terms(word))
-                    if hit:
-                        twice |= once & hit
-                        once |= hit
-                rows = {place[t] for t in once if t in place} | {place[t ^ TWICE] for t in twice if t ^ TWICE in place}
-                z = model.logit(np.fromiter(sorted(rows), "i8", len(rows)))
-                out.append(1 / (1 + np.exp(-min(30.0, max(-30.0, z)))))
-            keep = [batch.column(i) for i, c in enumerate(batch.schema.names) if c != "text"]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(out, pa.float64())], names=[*(c for c in batch.schema.names if c != "text"), name])
+    held: dict[str, frozenset[int]] = {}  # of a word's terms, those that the model knows by themselves or twice
+
+    def score(text: str | None) -> float:
+        once: set[int] = set()
+        twice: set[int] = set()
+        for word in set(_WORD.findall((text or "").lower())):
+            hit = held.get(word)
+            if hit is None:
+                if len(held) >= WORDS_HELD:
+                    held.clear()
+                hit = held[word] = frozenset(known & word_terms(word)) or _NONE
+            if hit:
+                twice |= once & hit
+                once |= hit
+        rows = {place[t] for t in once if t in place} | {place[t ^ TWICE] for t in twice if t ^ TWICE in place}
+        z = model.logit(np.fromiter(sorted(rows), "i8", len(rows)))
+        return 1 / (1 + np.exp(-min(30.0, max(-30.0, z))))
 
     return score
 
 
+def toxicity_score(model: FactorizationMachine, text: Column) -> Column:
+    """The score (0 to 1) of a text column; a null or empty text has that of a text without terms.
+
+    Only the texts travel to Python and only scores come back.
+    """
+
+    @tidied
+    def scores(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        score = _text_scorer(model)
+        for column in columns:
+            yield pa.array([score(t) for t in texts_of(column)], pa.float64())
+
+    return F.arrow_udf(scores, "double")(text)
+
+
 def score_toxicity(docs: DataFrame, model: FactorizationMachine) -> DataFrame:
-    """``doc_id`` and ``score`` (0 to 1) for each row; null and empty texts get the score of a text without terms. Other columns are ignored, equal rows kept."""
-    read = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole_text().alias("text"))
-    return read.mapInArrow(_scorer(model), "doc_id bigint, score double")
+    """``doc_id`` and ``score`` (0 to 1) for each row.
+
+    Null and empty texts get the score of a text without terms; texts are
+    scored whole, however long.  Equal rows are kept, equal texts score alike;
+    other columns are ignored, and no rows give none.
+    """
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), toxicity_score(model, F.col("text")).alias("score"))
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, model: FactorizationMachine, threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that score below ``threshold``; texts travel through Python once and are not shuffled."""
-    read = docs.withColumn("__text", F.col("text")).withColumn("text", whole_text())
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in read.schema.fields if f.name != "text")
-    scored = read.mapInArrow(_scorer(model, "__score"), f"{fields}, __score double").where(F.col("__score") < threshold)
-    return scored.withColumnRenamed("__text", "text").select(*(F.col(f"`{c}`") for c in docs.columns))
+    """The rows of ``docs``, with all their columns whatever their names, that score below ``threshold``.
+
+    Null and empty texts, ties and repeated rows are treated as by
+    :func:`score_toxicity`.  Texts travel to Python once, don't come back and
+    are not shuffled.
+    """
+    return docs.where(toxicity_score(model, F.col("text")) < threshold)
