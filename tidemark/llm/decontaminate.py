@@ -13,10 +13,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import texts_of, whole_text
+from tidemark.llm._common import materialize, texts_of, tidied
 from tidemark.llm.hashing import BASE, mix
 
 _TOKEN = re.compile(r"[^\W_]+")
@@ -24,12 +24,13 @@ _TOKEN = re.compile(r"[^\W_]+")
 MASKS = ("111111", "110110011", "1011010011", "11010001011")
 #: Windows of fewer tokens are also found by blocks of theirs, one more than may differ: one block always agrees whole.
 BLOCKS_BELOW = 16
-#: Items of fewer tokens are too short to tell a leak from chance.
-LEAST_TOKENS = 8
-#: Benchmark tokens that one pass over the texts holds in memory; a larger benchmark takes more passes.
+#: Items of fewer tokens must agree in all of them.
+EXACT_BELOW = 8
+#: Benchmark tokens that one pass over the texts holds in memory, about; a larger benchmark takes more passes, one after the other.
 TOKENS_PER_PASS = 2_000_000
 
 HITS = "array<struct<item_id:bigint,start:int,length:int,equal:int>>"
+_FIELDS = ("item_id", "start", "length", "equal")
 _HIT_TYPE = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("length", pa.int32()), ("equal", pa.int32())]))
 
 
@@ -59,6 +60,11 @@ def blocks(width: int, share: float) -> tuple[int, int]:
     return min(differ + 1, width), max(1, width // (differ + 1))
 
 
+def needed(width: int, share: float) -> float:
+    """How many of ``width`` tokens in a row must agree."""
+    return width if width < EXACT_BELOW else share * width
+
+
 class SeedIndex:
     """Seeds of some benchmark items."""
 
@@ -68,7 +74,7 @@ class SeedIndex:
         self.items: list[tuple[int, np.ndarray]] = []
         for item_id, text in items:
             words = tokens_of(text or "")
-            if len(words) >= LEAST_TOKENS:
+            if words:
                 self.items.append((item_id, np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.uint64)))
         self.table = []
         every = [(mask, [(n, seeds(ids, mask), None) for n, (_, ids) in enumerate(self.items)]) for mask in MASKS]
@@ -76,7 +82,7 @@ class SeedIndex:
         for n, (_, ids) in enumerate(self.items):
             width = min(window, len(ids))
             if width < BLOCKS_BELOW:
-                count, size = blocks(width, share)
+                count, size = blocks(width, needed(width, share) / width)
                 # Blocks of a window at any place; of a shorter item, its own.
                 at = np.unique(np.arange(len(ids) - width + 1)[:, None] + np.arange(count) * size)
                 short.setdefault(size, []).append((n, seeds(ids, "1" * size)[at], at))
@@ -122,19 +128,30 @@ class SeedIndex:
             return None
         equal = ids[a + diagonal : b + diagonal] == item[a:b]
         run = np.concatenate(([0], np.cumsum(equal)))
-        if (run[width:] - run[:-width]).max() < self.share * width:
+        if (run[width:] - run[:-width]).max() < needed(width, self.share):
             return None
         return item_id, a + diagonal, b - a, int(run[-1])
 
 
-def _finder(index: SeedIndex, names: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [index.overlaps(t) for t in texts_of(batch.column("__whole"))]
-            rows = [[dict(zip(("item_id", "start", "length", "equal"), x, strict=True)) for x in f] for f in found]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(rows, _HIT_TYPE)], names=[*names, "__found"])
+def found_overlaps(index: SeedIndex, text: Column) -> Column:
+    """The overlaps of a text column with the index; only the texts travel to Python and only overlaps come back."""
+
+    @tidied
+    def overlaps(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            yield pa.array([[dict(zip(_FIELDS, x, strict=True)) for x in index.overlaps(t or "")] for t in texts_of(column)], _HIT_TYPE)
+
+    return F.arrow_udf(overlaps, HITS)(text)
 
-    return run
+
+def _indexes(benchmark: DataFrame, window: int, share: float) -> Iterator[SeedIndex]:
+    """An index for each pass over the texts; the driver holds one of them at a time."""
+    items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text"))
+    size = items.agg(F.sum(F.size(F.split("text", r"\s+")))).head()[0] or 0
+    passes = max(1, -(-int(size) // TOKENS_PER_PASS))
+    for k in range(passes):
+        part = items if passes == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k)
+        yield SeedIndex(sorted((r["item_id"], r["text"]) for r in part.toLocalIterator()), window, share)
 
 
 def with_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 20, share: float = 0.8) -> DataFrame:
@@ -142,31 +159,28 @@ def with_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 20, share
 
     An overlap is an alignment of a benchmark item in which ``window`` tokens
     in a row (or all of a shorter item) agree in at least ``share`` of their
-    places; case and punctuation don't count.  Items with a null id or text, or
-    of fewer than ``LEAST_TOKENS`` tokens, match nothing, and neither do null
-    and empty texts.  Equal rows and items are treated each for itself; a
-    column of ``docs`` named ``overlaps`` is replaced.
+    places, and in all of them where the item has fewer than ``EXACT_BELOW``;
+    case and punctuation don't count.  Items with a null id or text, or without
+    tokens, match nothing, and neither do null and empty texts.  Texts are read
+    whole, however long.  Equal rows and items are treated each for itself; a
+    column of ``docs`` named ``overlaps`` is replaced, others are kept whatever
+    their names.  Empty tables give no rows and no overlaps.
 
     The benchmark goes to the executors in groups of about ``TOKENS_PER_PASS``
-    tokens, each of which takes one pass over the texts, so memory doesn't grow
-    with it; texts are never shuffled.
+    tokens.  Each takes a pass over the texts, whose result is written before
+    the next one starts, so a task holds one group whatever the benchmark's
+    size; texts are never shuffled.
     """
-    items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text"))
-    size = items.agg(F.sum(F.size(F.split("text", r"\s+")))).head()[0] or 0
-    passes = max(1, -(-int(size) // TOKENS_PER_PASS))
-    out = docs.drop("overlaps").withColumn("overlaps", F.array().cast(HITS))
-    for k in range(passes):
-        part = items if passes == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k)
-        index = SeedIndex(sorted((r["item_id"], r["text"]) for r in part.toLocalIterator()), window, share)
-        sent = out.withColumn("__whole", whole_text())
-        names = out.columns
-        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields)
-        sent = sent.mapInArrow(_finder(index, names), f"{fields}, __found {HITS}")
-        out = sent.withColumn("overlaps", F.concat("overlaps", "__found")).drop("__found")
+    out = None
+    for index in _indexes(benchmark, window, share):
+        found = found_overlaps(index, F.col("text"))
+        out = docs.drop("overlaps").withColumn("overlaps", found) if out is None else materialize(out, "overlaps").withColumn("overlaps", F.concat("overlaps", found))
     return out
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 20, share: float = 0.8) -> DataFrame:
-    """The rows of ``docs``, with their columns, that overlap no benchmark item."""
-    found = with_overlaps(docs.drop("overlaps"), benchmark, window, share)
-    return found.where(F.size("overlaps") == 0).select(*(F.col(f"`{c}`") for c in docs.columns if c != "overlaps"))
+    """The rows of ``docs``, with all their columns whatever their names, that overlap no benchmark item; see :func:`with_overlaps` for nulls, empty, long and repeated ones."""
+    out = None
+    for index in _indexes(benchmark, window, share):
+        out = (docs if out is None else materialize(out, "clean")).where(F.size(found_overlaps(index, F.col("text"))) == 0)
+    return out

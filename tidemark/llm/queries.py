@@ -115,16 +115,16 @@ FROM documents d JOIN named USING (doc_id) LEFT JOIN sizes s ON s.doc_id = d.doc
 
 _LEAKS_SQL = r"""
 WITH items AS (SELECT item_id, regexp_extract_all(lower(text), '[\pL\pN]+') AS w FROM benchmark),
-item_words AS (SELECT item_id, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM items WHERE len(w) >= 8),
+item_words AS (SELECT item_id, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM items),
 docs AS (SELECT doc_id, regexp_extract_all(lower(text), '[\pL\pN]+') AS w FROM documents),
 doc_words AS (SELECT doc_id, len(w) AS m, unnest(w) AS word, generate_subscripts(w, 1) AS q FROM docs),
 equal AS (SELECT doc_id, item_id, q - p AS d, p, n, m FROM doc_words JOIN item_words USING (word)),
 counted AS (
   SELECT *, count(*) OVER (PARTITION BY doc_id, item_id, d ORDER BY p RANGE BETWEEN CURRENT ROW AND 19 FOLLOWING) AS run FROM equal
-  QUALIFY count(*) OVER (PARTITION BY doc_id, item_id, d) >= 6),
+  QUALIFY count(*) OVER (PARTITION BY doc_id, item_id, d) >= least(6, n)),
 found AS (
   SELECT doc_id, item_id, d, count(*) AS n_equal FROM counted
-  GROUP BY doc_id, item_id, d, n, m HAVING max(run) >= 0.8 * least(20, n) AND least(n, m - d) - greatest(0, -d) >= least(20, n)),
+  GROUP BY doc_id, item_id, d, n, m HAVING max(run) >= CASE WHEN n < 8 THEN n ELSE 0.8 * least(20, n) END AND least(n, m - d) - greatest(0, -d) >= least(20, n)),
 summed AS (SELECT doc_id, count(*) AS n_overlaps, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS item_ids, max(n_equal) AS most_equal FROM found GROUP BY doc_id)
 SELECT d.doc_id, f.doc_id IS NOT NULL AS contaminated, coalesce(n_overlaps, 0) AS n_overlaps, coalesce(item_ids, '') AS item_ids, coalesce(most_equal, 0) AS most_equal
 FROM documents d LEFT JOIN summed f ON f.doc_id = d.doc_id
