@@ -74,6 +74,28 @@ def test_edges_of_the_contract(spark, docs):
     assert near_components(made.limit(0)).count() == drop_near_copies(made.limit(0)).count() == 0
 
 
+def thue_morse(k):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(1 << k))
+
+
+def test_words_built_to_collide_are_told_apart(spark, docs):
+    """Two words whose polynomial hashes modulo 2**64 agree, alone and within texts; sets of equal shingles in another order."""
+    one, two = thue_morse(11), thue_morse(11).translate(str.maketrans("ab", "ba"))
+    tail = " ".join(f"w{i}" for i in range(12))
+    again = "a b c d e f a b c d e f g"
+    rows = list(enumerate([one, two, f"{one} {tail}", f"{two} {tail}", again, "a b c d e f a b c d e f a b c d e f g", f"{one}x" * 9, f"{one}x" * 9]))
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in near_components(docs(*rows)).collect()}
+    assert found == brute(rows) and found[1][1] == 1 and found[3][1] == 3 and found[5] == (found[5][0], 4) and found[7][1] == 6
+
+
+def test_long_texts(spark, docs):
+    rng = random.Random(8)
+    text = " ".join(f"{rng.randrange(10**7)}" for _ in range(700_000))
+    rows = [(1, text), (2, text + " end"), (3, "x" * 3_000_000), (4, "X" * 3_000_000 + " ")]
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in near_components(docs(*rows)).collect()}
+    assert found == brute(rows)
+
+
 def test_rows_with_one_id_share_their_links(spark, docs):
     a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(90))
     rows = [(5, a), (5, b), (6, a), (7, b), (8, a + " x"), (9, b + " y")]

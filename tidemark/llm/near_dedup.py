@@ -5,9 +5,12 @@ of a group from the first with one from the second keys a table: 2 x 16 groups
 of 4 hashes make 256 tables of 8 hashes for the price of 128.  A pair at the
 least similarity of 0.85 misses all tables once in about 70 000 times.
 
-Links are confirmed on full shingle sets.  Within a table entry only enough
-pairs are compared to settle which documents hang together: members against a
-few centres, round by round, and never two that are known to be connected.
+Links are confirmed on full shingle sets, first by hashes and then, where these
+agree, by the words themselves.  Texts with the same words in a row are one
+from the start, by a cryptographic digest of the words.  Within a table entry
+only enough pairs are compared to settle which documents hang together: members
+against a few centres, round by round, and never two that are known to be
+connected.
 """
 
 from __future__ import annotations
@@ -20,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import materialize, whole_text
-from tidemark.llm.hashing import BASE, mix, shingles, text_chunks, words
+from tidemark.llm._common import materialize, tidied, whole_text
+from tidemark.llm.hashing import BASE, LOWER, mix, shingles, text_chunks, words
 
 GROUPS, HASHES = 16, 4
 #: How many times more centres an entry has in each round.
@@ -49,6 +52,25 @@ def _longs(rows: np.ndarray, full: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(rows.reshape(-1)))
 
 
+def _words(raw: bytes) -> list[bytes]:
+    """The words themselves; ``bytes.split`` splits at the space and at bytes 9 to 13."""
+    return raw.translate(LOWER).split()
+
+
+def shingle_set(raw: bytes, k: int = 5) -> set[tuple[bytes, ...]]:
+    """A text's set: the shingles themselves."""
+    found = _words(raw)
+    if len(found) < k:
+        return {tuple(found)} if found else set()
+    return set(zip(*(found[i:] for i in range(k)), strict=False))
+
+
+def _raws(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    whole = data.tobytes()
+    return [whole[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+
+
+@tidied
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         column = batch.column("text")
@@ -62,7 +84,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [
                     batch.column("doc_id").slice(first, last - first),
                     pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
+                    pa.array([hashlib.blake2b(b" ".join(_words(raw)), digest_size=16).digest() for raw in _raws(data, offsets)], pa.binary()),
                     _longs(keys[0], full),
                     _longs(keys[1], full),
                 ],
@@ -79,21 +101,33 @@ def _sets(column: pa.Array) -> list[np.ndarray]:
     return out
 
 
+def _similar(shared: int, one: int, two: int, percent: int) -> bool:
+    return shared > 0 and 100 * shared >= percent * (one + two - shared)
+
+
 def _confirmer(percent: int):
+    @tidied
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Keeps the pairs whose full sets are similar; runs of one right-hand text are shingled once."""
         for batch in batches:
             ones, twos = batch.column("a"), batch.column("b")
-            left = _sets(batch.column("text_a"))
-            right_ids, right_texts = twos.to_pylist(), batch.column("text_b")
+            left_texts, right_texts = batch.column("text_a"), batch.column("text_b")
+            left = _sets(left_texts)
+            right_ids = twos.to_pylist()
             new = [i for i in range(len(right_ids)) if not i or right_ids[i] != right_ids[i - 1] or right_texts[i] != right_texts[i - 1]]
             right = _sets(right_texts.take(pa.array(new, pa.int64())))
             which = np.searchsorted(new, np.arange(len(right_ids)), "right") - 1
-            linked = []
+            linked, of, exact = [], -1, set()
             for i, x in enumerate(left):
                 y = right[which[i]]
-                shared = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) * 100 >= percent * max(len(x), len(y)) else 0
-                linked.append(bool(shared) and 100 * shared >= percent * (len(x) + len(y) - shared))
+                # Equal shingles have equal hashes, so what fails here can't be similar.
+                near = min(len(x), len(y)) * 100 >= percent * max(len(x), len(y)) and _similar(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), percent)
+                if near:
+                    if of != which[i]:
+                        of, exact = which[i], shingle_set(right_texts[i].as_py().encode())
+                    own = shingle_set(left_texts[i].as_py().encode())
+                    near = _similar(len(own & exact), len(own), len(exact), percent)
+                linked.append(near)
             keep = pa.array(linked, pa.bool_())
             yield pa.RecordBatch.from_arrays([ones.filter(keep), twos.filter(keep)], names=["a", "b"])
 
@@ -143,7 +177,7 @@ def near_components(docs: DataFrame, percent: int = 85) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole_text().alias("text"))
     signed = materialize(texts.mapInArrow(_signatures, SIGNATURE_SCHEMA), "signatures")
     known = signed.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    # Equal sets are one node from here on, named by its smallest doc_id.
+    # Texts of the same words are one node from here on, named by its smallest doc_id.
     nodes = materialize(known.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("first").alias("first"), F.first("second").alias("second")), "nodes")
     # Only nodes that share a group of either collection with another can share a table entry.
     groups = [nodes.select("node", F.posexplode(side).alias("g", "key")) for side in ("first", "second")]
@@ -165,6 +199,7 @@ def near_components(docs: DataFrame, percent: int = 85) -> DataFrame:
     return ids
 
 
+@tidied
 def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct shingles by half their hash: where two meet in one value, they count as shared, which is the safe side."""
     for batch in batches:
