@@ -49,7 +49,46 @@ def test_equals_brute_force(spark, docs, seed):
 
 
 def test_common_anchors_are_spread_and_groups_cut(spark, docs):
-    check(docs, mixed_corpus(4), group_limit=2, sort_bytes=500)
+    check(docs, mixed_corpus(4), group=2, sort_bytes=500)
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choices("abc", k=n))
+    line = word(150)  # a passage shorter than a string, in texts that differ, that agree before or behind it, and that repeat it whole
+    texts = [word(rng.choice((60, 120))) + line + word(90) for _ in range(30)]
+    texts += [texts[0][:210] + word(60), word(30) + texts[1][40:], word(10) + texts[2] + word(8), texts[3]]
+    check(docs, texts, group=2)
+    check(docs, texts, group=9, sort_bytes=100)
+
+
+def test_long_texts_are_searched_in_windows(spark, docs, monkeypatch):
+    from tidemark.llm import suffix_dedup
+
+    monkeypatch.setattr(suffix_dedup, "FIND_BYTES", 700)
+    rng = random.Random(5)
+    long = "".join(rng.choices("abcd ", k=9000))
+    texts = [long, long[1234:1900] + "x" + long[3000:3300], long[:5000] + "y" + long[5000:], "z" * 5000]
+    raws = [t.encode() for t in texts]
+    for data in raws:
+        whole = suffix_dedup.anchors(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+        seen = {(lo + j): p for lo, hi, p in zip(*(x.tolist() for x in whole[:3]), strict=True) for j in range(hi - lo + 1)}
+        got = {}
+        for shift, part, offsets in suffix_dedup._windows(np.frombuffer(data, np.uint8), np.array([0, len(data)])):
+            for lo, hi, p in zip(*(x.tolist() for x in suffix_dedup.anchors(part, offsets)[:3]), strict=True):
+                for j in range(hi - lo + 1):
+                    assert shift + lo + j not in got
+                    got[shift + lo + j] = shift + p
+        assert got == seen
+    check(docs, texts)
+
+
+def test_suffixes_built_to_collide_are_sorted_by_their_bytes():
+    """Two strings whose polynomial hashes modulo 2**64 agree."""
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(2048)).encode()
+    two = one.translate(bytes.maketrans(b"ab", b"ba"))
+    data = np.frombuffer(one + b"x" + two + b"x", np.uint8)
+    groups = np.zeros(2, np.int64)
+    order = SuffixOrder(data, np.array([0, 2049]), np.array([2049, 4098]), groups)
+    assert order.common(np.array([0]), np.array([1]))[0] > 0 and order.neighbours(groups).tolist() == [0]
+    assert order.order.tolist() == [0, 1]
 
 
 def test_few_rows(spark, docs):
@@ -67,7 +106,7 @@ def test_suffix_order_is_that_of_the_bytes(bodies, data):
     starts = ends - [len(r) for r in raws]
     order = SuffixOrder(np.frombuffer(b"".join(raws), np.uint8), starts, ends, groups)
     assert [raws[i] for i in order.order] == [r for g in range(4) for r in sorted(r for r, h in zip(raws, groups, strict=True) if h == g)]
-    common = order.longest_common(groups)
+    common = order.neighbours(groups)
 
     def lcp(a, b):
         n = 0
@@ -75,5 +114,5 @@ def test_suffix_order_is_that_of_the_bytes(bodies, data):
             n += 1
         return n
 
-    for i, r in enumerate(raws):
-        assert common[i] == max((lcp(r, s) for j, s in enumerate(raws) if j != i and groups[i] == groups[j]), default=0)
+    for i, (a, b) in enumerate(zip(order.order, order.order[1:])):
+        assert common[i] == (lcp(raws[a], raws[b]) if groups[a] == groups[b] else -1)
