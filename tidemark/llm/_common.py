@@ -61,7 +61,17 @@ def materialize(df: DataFrame, name: str, free: bool = False) -> DataFrame:
     if free:
         gc.collect()
         df.sparkSession.sparkContext._jvm.System.gc()
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that :func:`materialize` has written and that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._scratch)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def whole_text(column: str = "text") -> Column:

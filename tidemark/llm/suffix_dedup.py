@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import materialize, tidied, whole_text
+from tidemark.llm._common import discard, materialize, tidied, whole_text
 from tidemark.llm.hashing import powers, prefix_hashes, substring_hashes, text_chunks
 
 #: Bytes of a string that must recur, and of an anchor.
@@ -347,52 +347,66 @@ def _digests(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("h1"), F.xxhash64(text, F.lit(1)).alias("h2")]
 
 
-def _sorted_runs(segments: DataFrame, group: int, sort_bytes: int) -> DataFrame:
-    """Runs of recurring strings in surroundings that occur once.
+def _cut_from(texts: DataFrame, sets: DataFrame) -> DataFrame:
+    """The surroundings of ``sets``, one of equal ones."""
+    wants = sets.groupBy("h1", "h2").agg(F.collect_list(F.struct("k", "c1", "c2", "low", "width", "at", (F.col("n") == 1).alias("single"))).alias("wants"))
+    return texts.join(wants, ["h1", "h2"]).select("text", "h1", "h2", "wants").mapInArrow(_cut, _SEGMENT)
+
+
+def _sorted_runs(segments: DataFrame, sort_bytes: int) -> DataFrame:
+    """Runs of recurring strings in surroundings that occur once, of groups that fit a task."""
+    return segments.repartition("g").sortWithinPartitions("g", "c1", "c2").mapInArrow(_segment_sorter(sort_bytes), _RUN)
+
 
-    Groups of more than ``group`` rows are halved by distances from the anchor,
-    each half dealt out by the bytes that all its strings share, until they fit
-    a task; at a single distance the rows of a group are equal strings, which
-    are counted.
+def _halved_runs(segments: DataFrame, group: int, sort_bytes: int) -> DataFrame:
+    """The same of larger groups.
+
+    They are halved by distances from the anchor, each half dealt out by the
+    bytes that all its strings share, until they fit a task; at a single
+    distance the rows of a group are equal strings, which are counted.
     """
     out = None
     while True:
-        large = segments.groupBy("g").agg(F.count("*").alias("rows")).where(F.col("rows") > group).select("g")
-        large = materialize(large, "large")
-        none = large.isEmpty()
-        small = segments if none else segments.join(large, "g", "left_anti")
-        runs = small.repartition("g").sortWithinPartitions("g", "c1", "c2").mapInArrow(_segment_sorter(sort_bytes), _RUN)
+        segments = materialize(segments.where("near < far").mapInArrow(_halve, _SEGMENT), "halves")
+        large = materialize(segments.groupBy("g").agg(F.count("*").alias("rows")).where(F.col("rows") > group).select("g"), "large")
+        runs = _sorted_runs(segments.join(large, "g", "left_anti"), sort_bytes)
         out = runs if out is None else out.unionByName(runs)
-        if none:
-            return out
-        rest = segments.join(large, "g", "left_semi")
-        narrow = rest.where("near = far")
+        segments = segments.join(large, "g", "left_semi")
+        narrow = segments.where("near = far")
         strings = narrow.groupBy("far", "body").agg(F.count_distinct("c1", "c2").alias("n")).where("n > 1").select("far", "body")
         place = F.col("anchor") - F.col("far")
         out = out.unionByName(narrow.where("single").join(strings, ["far", "body"], "left_semi").select("h1", "h2", place.alias("low"), place.alias("high")))
-        segments = materialize(rest.where("near < far").mapInArrow(_halve, _SEGMENT), "halves")
+        if large.isEmpty():
+            return out
 
 
 def repeated_runs(docs: DataFrame, group: int = GROUP, sort_bytes: int = SORT_BYTES) -> DataFrame:
-    """``h1``, ``h2`` (a text's digest) and ``runs``: first and last starts, in bytes, of its strings that also start elsewhere."""
+    """``h1``, ``h2`` (a text's digest) and ``runs``: first and last starts, in bytes, of its strings that also start elsewhere; a table of its own."""
     texts = docs.select(whole_text().alias("text")).where(F.octet_length("text") >= LENGTH).select("text", *_digests(F.col("text")))
     found = materialize(texts.mapInArrow(_find, _FOUND), "anchors")
     differ = (F.min("c1") < F.max("c1")) | (F.min("c2") < F.max("c2"))
     # Written first, so that the join below can split a common anchor.
     kinds = materialize(found.groupBy("k").agg(F.count("*").alias("n"), differ.alias("mixed")).where("n > 1").select("k", "mixed"), "kinds", free=True)
-    recurring = materialize(found.join(kinds, "k").withColumn("high", F.col("low") + F.col("width")), "recurring", free=True)
-    alike = recurring.where("not mixed").select("h1", "h2", "low", "high")
+    recurring = materialize(found.join(kinds, "k"), "recurring", free=True)
+    discard(found, kinds)
+    run = ("h1", "h2", "low", (F.col("low") + F.col("width")).alias("high"))
+    alike = recurring.where("not mixed").select(*run)
     # One of each set of equal surroundings is enough to compare with the others.
-    mixed = recurring.where("mixed")
+    mixed = recurring.where("mixed").drop("mixed")
     sets = mixed.groupBy("k", "c1", "c2").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("h1", "h2", "low", "width", "at")))
     sets = materialize(sets, "surroundings", free=True)
-    copied = mixed.join(sets.where("n > 1").select("k", "c1", "c2"), ["k", "c1", "c2"], "left_semi").select("h1", "h2", "low", "high")
-    wants = sets.groupBy("h1", "h2").agg(F.collect_list(F.struct("k", "c1", "c2", "low", "width", "at", (F.col("n") == 1).alias("single"))).alias("wants"))
-    segments = materialize(texts.join(wants, ["h1", "h2"]).select("text", "h1", "h2", "wants").mapInArrow(_cut, _SEGMENT), "segments", free=True)
-    runs = alike.unionByName(copied).unionByName(_sorted_runs(segments, group, sort_bytes))
+    copied = mixed.join(sets.where("n > 1").select("k", "c1", "c2"), ["k", "c1", "c2"], "left_semi").select(*run)
+    large = materialize(sets.groupBy("k").agg(F.count("*").alias("rows")).where(F.col("rows") > group).select("k"), "large")
+    if large.isEmpty():
+        runs = _sorted_runs(_cut_from(texts, sets), sort_bytes)
+    else:
+        runs = _sorted_runs(_cut_from(texts, sets.join(large, "k", "left_anti")), sort_bytes)
+        runs = runs.unionByName(_halved_runs(_cut_from(texts, sets.join(large, "k", "left_semi")), group, sort_bytes))
     # Copies of a text have the same runs.
-    runs = runs.groupBy("h1", "h2", "low").agg(F.max("high").alias("high"))
-    return runs.groupBy("h1", "h2").agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("runs"))
+    runs = alike.unionByName(copied).unionByName(runs).groupBy("h1", "h2", "low").agg(F.max("high").alias("high"))
+    made = materialize(runs.groupBy("h1", "h2").agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("runs")), "runs", free=True)
+    discard(recurring, sets)
+    return made
 
 
 def covered(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -438,7 +452,7 @@ def remove_repeats(docs: DataFrame, group: int = GROUP, sort_bytes: int = SORT_B
     give none.  ``group`` and ``sort_bytes`` bound a task's memory and change
     no result.
     """
-    runs = materialize(repeated_runs(docs, group, sort_bytes), "runs", free=True)
+    runs = repeated_runs(docs, group, sort_bytes)
     read = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole_text().alias("text")).select("*", *_digests(F.col("text")))
     both = read.join(runs, ["h1", "h2"], "left").select("doc_id", "text", "runs")
     return both.mapInArrow(_remove, "doc_id bigint, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary")
