@@ -1,16 +1,28 @@
 import hashlib
+import math
 import random
+import struct
 from collections import Counter
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
-from tidemark.llm.fingerprint import fingerprint_with_edits, gamma_quantiles, likeness
+from tidemark.llm import fingerprint
+from tidemark.llm.fingerprint import fingerprint_with_edits, gamma_quantile, likeness
+
+
+def hashed(raw, seed=42):
+    return xxhash.xxh64_intdigest(raw, seed)
+
+
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
 
 
 def edited(rows):
-    """(doc_id, text, edited text, next text) by the contract."""
-    order = sorted(((-(1 << 63) if i is None else i, t or "", i) for i, t in rows), key=lambda x: (-x[0], x[1]))
+    """(doc_id, text, edited text, next text) by the contract; rows of one id by a hash of their texts."""
+    order = sorted(((-(1 << 63) if i is None else i, t or "", i) for i, t in rows), key=lambda x: (-x[0], -signed(hashed(x[1].encode()))))
     for k, (_, text, i) in enumerate(order):
         after, half = order[(k + 1) % len(order)][1], len(text) // 2
         yield i, text, text[: len(text) - half] + after[:half], after
@@ -57,9 +69,65 @@ def test_no_python_in_the_plan(spark, docs):
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
-def test_gamma_table():
-    q = gamma_quantiles()
-    assert q == sorted(q) and abs(sum(q) / len(q) - 2) < 0.01
+def sampled(text):
+    """The fingerprint by the formulas, a word and a sample at a time, with the inverse by bisection."""
+    out = ""
+    for i in range(64):
+        best = None
+        for word, n in Counter(text.split()).items():
+            h = hashed(struct.pack("<Q", hashed(word.encode())), hashed(struct.pack("<i", i)))
+            f = hashed(struct.pack("<Q", h))
+            r, c = (gamma_quantile((x + 0.5) / (1 << 32)) for x in (h >> 32, h & 0xFFFFFFFF))
+            b = (f >> 20) / (1 << 44)
+            t = math.floor(math.log(n) / r + b)
+            value = math.log(c) - r * (t - b + 1)
+            if best is None or value < best[0]:
+                best = value, (f ^ t * 40503) & 0xFFFF
+        out += f"{best[1]:04x}" if best else ""
+    return out
+
+
+def test_equals_a_plain_sampler(spark, docs):
+    rng = random.Random(4)
+    texts = ["one", "a b c", "a a a b", *(" ".join(f"w{rng.randrange(60)}" for _ in range(rng.randrange(1, 200))) for _ in range(12)), " ".join(f"x{i}" for i in range(1500))]
+    found = fingerprint_with_edits(docs(*texts)).collect()
+    same = sum(a == b for r in found for a, b in zip(zip(*[iter(r.fingerprint)] * 4), zip(*[iter(sampled(texts[r.doc_id]))] * 4), strict=True))
+    assert len(found) == len(texts) and same >= 0.995 * 64 * len(texts)  # straight lines between the table's entries decide a near tie now and then
+
+
+@pytest.mark.parametrize("words", [20, 300, 5000])
+def test_samples_agree_as_often_as_weights_do(spark, docs, words):
+    """Weights of 1 against 3: a third, however many words there are."""
+    pairs = 60 if words < 1000 else 40
+    texts = []
+    for k in range(pairs):
+        own = [f"p{k}w{i}" for i in range(words)]
+        texts += [" ".join(own), " ".join(w for w in own for _ in range(3))]
+    found = fingerprint_with_edits(docs(*texts)).where("doc_id % 2 = 1").agg(F.avg("near_next"), F.count("*")).head()
+    assert found[1] == pairs and abs(found[0] - 1 / 3) < 0.03
+    apart = fingerprint_with_edits(docs(*texts)).where("doc_id % 2 = 0 AND doc_id > 0").agg(F.avg("near_next")).head()[0]
+    assert apart < 0.01
+
+
+def test_quantiles(spark):
+    """The tables with their tails against bisection."""
+    plain = [gamma_quantile(max(i, 0.5) / fingerprint._STEPS) for i in range(fingerprint._STEPS)]
+    plain.append(plain[-1])
+    points = [2.0**-33, 1e-7, 1e-4, 0.007, 0.0079, 0.1, 0.5, 0.9, 0.99, 0.9925, 0.9999, 1 - 1e-7, 1 - 2.0**-33]
+    u = spark.createDataFrame([(x,) for x in points], "u double")
+    tables = fingerprint._array(plain, "double"), fingerprint._array([math.log(x) for x in plain], "double")
+    for r in u.select("u", fingerprint._quantile(F.col("u"), tables[0], False).alias("x"), fingerprint._quantile(F.col("u"), tables[1], True).alias("l")).collect():
+        want = gamma_quantile(r.u)
+        assert abs(r.x / want - 1) < 2e-4 and abs(r.l - math.log(want)) < 2e-4, r
+
+
+def test_one_id_fills_several_blocks(spark, docs, monkeypatch):
+    monkeypatch.setattr(fingerprint, "BLOCK", 20)
+    rows = [(7, t) for t in dict.fromkeys(corpus(150, 5))] + [(i + 100, t) for i, t in enumerate(corpus(60, 6))] + [(3, "x")]
+    read = docs(*rows).select(F.col("doc_id").alias("key"), F.xxhash64("text").alias("tie"), "doc_id", "text")
+    assert fingerprint._with_blocks(read).where("key = 7 AND NOT ghost").select("block").distinct().count() > 3
+    got = fingerprint_with_edits(docs(*rows)).collect()
+    assert sorted((r.doc_id, r.edited_sha256) for r in got) == sorted((i, hashlib.sha256(e.encode()).hexdigest()) for i, _, e, _ in edited(rows))
 
 
 def test_likeness(spark):

@@ -2,14 +2,19 @@
 
 A text is a weighted set: its words with their counts.  Sample ``i`` of word
 ``k`` with weight ``w`` draws r and c from Gamma(2, 1) and b from the unit
-interval, all from a hash of (i, k), takes ``t = floor(ln w / r + b)`` and the
+interval, all from hashes of (i, k), takes ``t = floor(ln w / r + b)`` and the
 value ``ln c - r (t - b) - r``; the fingerprint keeps (k, t) of the smallest
 value.  Two texts agree in a sample with the probability of their generalised
 Jaccard similarity.
+
+r and c come from the inverse of Gamma(2, 1)'s distribution at uniform numbers
+of 32 bits: between the entries of a table, and in both tails, which decide the
+minimum where a text has many words, by formulas.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,15 +23,15 @@ from pyspark.sql import functions as F
 from tidemark.llm._common import whole_text
 
 SAMPLES = 64
-#: Samples of one aggregation; the code for all at once would be too long for the JVM to compile.
-AT_ONCE = 32
 #: Hex digits that a sample has in the fingerprint.
 DIGITS = 4
-#: Documents of a block, which a task handles together; blocks at most (they grow beyond).
-BLOCK, MOST_BLOCKS = 200, 1 << 16
-#: Quantiles in the Gamma table.
-_STEPS = 1 << 8
+#: Documents of a block, which a task handles together.
+BLOCK = 500
 _LOWEST = -(1 << 63)
+#: Steps of the tables, and how many of them at either end a formula replaces.
+_STEPS, _TAIL = 1 << 12, 1 << 5
+#: Beyond all values of a sample but for one in 2**100, and steps of a value.
+_OFFSET, _SCALE = 128.0, float(1 << 35)
 
 
 def _array(values: list, kind: str) -> Column:
@@ -34,45 +39,68 @@ def _array(values: list, kind: str) -> Column:
     return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")
 
 
-def gamma_quantiles() -> list[float]:
-    """The middle quantiles of Gamma(2, 1), by bisection of ``1 - exp(-x) (1 + x)``."""
-    out = []
-    for i in range(_STEPS):
-        p, low, high = (i + 0.5) / _STEPS, 0.0, 64.0
-        for _ in range(60):
-            x = (low + high) / 2
-            low, high = (x, high) if 1 - math.exp(-x) * (1 + x) < p else (low, x)
-        out.append((low + high) / 2)
-    return out
+def gamma_quantile(p: float) -> float:
+    """The inverse of ``1 - exp(-x) (1 + x)``, by bisection."""
+    low, high = 0.0, 64.0
+    for _ in range(80):
+        x = (low + high) / 2
+        low, high = (x, high) if -math.expm1(-x) - x * math.exp(-x) < p else (low, x)
+    return (low + high) / 2
+
 
+def _between(u: Column, table: Column) -> Column:
+    """The table at ``u``, with straight lines between its entries."""
+    scaled = u * F.lit(float(_STEPS))
+    at = scaled.cast("int")
+    low = F.get(table, at)
+    return low + (F.get(table, at + 1) - low) * (scaled - at)
 
-def _sample(i: int, part: Column, term: Column, log_weight: Column, r_table: Column, c_table: Column) -> Column:
-    """The value of sample ``i`` of a part above 20 bits of the term's hash and t, as one long, so that a minimum picks both.
 
-    Null where the weight is; there is no condition, as the hash and t, which
-    occur several times, are then computed once.
+def _quantile(u: Column, table: Column, logs: bool) -> Column:
+    """The inverse at ``u``, or its logarithm.
+
+    Near 0 it is ``s + s^2 / 3 + 11 s^3 / 72`` with ``s = sqrt(2 u)``, near 1
+    what ``x = ln(1 + x) - ln(1 - u)`` comes to.
     """
-    h = F.xxhash64(F.lit(i), part, term)
-    r = F.get(r_table, h.bitwiseAND(F.lit(_STEPS - 1)).cast("int"))
-    log_c = F.get(c_table, F.shiftrightunsigned(h, 8).bitwiseAND(F.lit(_STEPS - 1)).cast("int"))
-    b = F.shiftrightunsigned(h, 40) / F.lit(float(1 << 24))
-    t = F.floor(log_weight / r + b)
-    value = log_c - r * (t - b) - r
-    who = h.bitwiseXOR(t * F.lit(40503)).bitwiseAND(F.lit((1 << 20) - 1))
-    return F.shiftleft(F.floor((value + F.lit(64.0)) * F.lit(float(1 << 36))), 20).bitwiseOR(who)
+    s = F.sqrt(u * F.lit(2.0))
+    below = F.log(s) + s * (F.lit(1 / 3) + s * F.lit(7 / 72)) if logs else s * (F.lit(1.0) + s * (F.lit(1 / 3) + s * F.lit(11 / 72)))
+    start = above = -F.log(F.lit(1.0) - u)
+    for _ in range(6):
+        above = start + F.log1p(above)
+    tail = F.lit(_TAIL / _STEPS)
+    return F.when((u > tail) & (u < F.lit(1.0) - tail), _between(u, table)).when(u <= tail, below).otherwise(F.log(above) if logs else above)
 
 
-def _words(text: Column) -> Column:
-    return F.split(F.trim(text), r"\s+")
+def _with_values(df: DataFrame) -> DataFrame:
+    """Columns ``va`` and ``vb`` for sample ``part`` of ``term`` and log-weights ``wa`` and ``wb``: the value above 20 bits of its name, as one long, so that a minimum picks both; null where the weight is.
 
+    What is used more than once is a column of its own, so that it is computed once.
+    """
+    entries = [gamma_quantile(max(i, 0.5) / _STEPS) for i in range(_STEPS)]
+    entries.append(entries[-1])
+    plain, logs = _array(entries, "double"), _array([math.log(x) for x in entries], "double")
+    df = df.withColumn("h", F.xxhash64("part", "term")).withColumn("f", F.xxhash64("h"))
+    uniform = lambda bits: (bits + F.lit(0.5)) * F.lit(2.0**-32)
+    df = df.withColumns({"u": uniform(F.shiftrightunsigned("h", 32)), "v": uniform(F.col("h").bitwiseAND(F.lit((1 << 32) - 1)))})
+    df = df.withColumns({"r": _quantile(F.col("u"), plain, False), "c": _quantile(F.col("v"), logs, True), "b": F.shiftrightunsigned("f", 20) * F.lit(2.0**-44)})
+    df = df.withColumns({f"t{w}": F.floor(F.col(f"w{w}") / F.col("r") + F.col("b")) for w in "ab"})
 
-def _fingerprint(columns: list[str]) -> Column:
-    cells = [F.lpad(F.hex(F.col(c).bitwiseAND(F.lit((1 << 4 * DIGITS) - 1))), DIGITS, "0") for c in columns]
-    return F.lower(F.coalesce(F.concat(*cells), F.lit("")))
+    def value(t: Column) -> Column:
+        found = F.col("c") - F.col("r") * (t - F.col("b") + F.lit(1.0))
+        who = F.col("f").bitwiseXOR(t * F.lit(40503)).bitwiseAND(F.lit((1 << 20) - 1))
+        return F.shiftleft(F.floor((found + F.lit(_OFFSET)) * F.lit(_SCALE)), 20).bitwiseOR(who)
 
+    return df.withColumns({"va": value(F.col("ta")), "vb": value(F.col("tb"))})
 
-def _both_parts(side: int) -> Column:
-    return F.concat(*(F.max(F.when((F.col("side") == side) & (F.col("part") == k), F.col("print"))) for k in range(SAMPLES // AT_ONCE)))
+
+def _words(text: Column) -> Column:
+    return F.split(F.trim(text), r"\s+")
+
+
+def _fingerprint(column: str) -> Column:
+    """The names of all samples, in their order; empty without any."""
+    found = F.array_sort(F.collect_list(F.when((F.col("part") >= 0) & F.col(column).isNotNull(), F.struct("part", column))))
+    return F.array_join(F.transform(found, lambda x: F.lower(F.lpad(F.hex(x[column].bitwiseAND(F.lit((1 << 4 * DIGITS) - 1))), DIGITS, "0"))), "")
 
 
 def likeness(one: Column, two: Column) -> Column:
@@ -83,30 +111,50 @@ def likeness(one: Column, two: Column) -> Column:
 
 
 def _with_blocks(read: DataFrame) -> DataFrame:
-    """Rows with their ``block``, a range of ids, and ``late``; the first row after a block comes with it, too.
+    """Rows (key, tie, text, ...) with their ``block``, a range of (key, tie), and ``late``; the first row after a block comes with it, too.
 
-    Only as many ids as there are blocks reach the driver: where the blocks
-    begin, and each block's largest id.
+    The driver gathers two numbers for each block: where it begins.  Where one
+    key fills several blocks, they are ranges of its ties, which are hashes.
     """
     n = read.count()
-    blocks = max(1, min(MOST_BLOCKS, n // BLOCK))
+    blocks = max(1, n // BLOCK)
     shares = [i / blocks for i in range(blocks)]
-    begins = sorted(set(read.agg(F.percentile_approx("key", _array(shares, "double"), 4 * blocks + 10000)).head()[0] or [_LOWEST]))
-    begins[0] = _LOWEST
-    bits = F.array(*[F.lit(1 << k) for k in reversed(range(len(begins).bit_length()))])
-    starts = _array(begins, "bigint")
-    # A binary search for the last begin that isn't beyond the key.
-    number = F.aggregate(bits, F.lit(0), lambda at, step: F.when((at + step < len(begins)) & (F.get(starts, F.least(at + step, F.lit(len(begins) - 1))) <= F.col("key")), at + step).otherwise(at))
+    found = sorted(read.agg(F.percentile_approx("key", _array(shares, "double"), 4 * blocks + 10000)).head()[0] or [_LOWEST])
+    begins: list[tuple[int, int]] = []
+    for key, same in itertools.groupby(found):
+        parts = len(list(same))
+        begins += [(key, _LOWEST + (j << 64) // parts) for j in range(parts)]
+    begins[0] = (_LOWEST, _LOWEST)
+    count = len(begins)
+    keys, ties = _array([k for k, _ in begins], "bigint"), _array([t for _, t in begins], "bigint")
+    bits = F.array(*[F.lit(1 << k) for k in reversed(range(count.bit_length()))])
+
+    def reached(place: Column) -> Column:
+        at = F.least(place, F.lit(count - 1))
+        return (place < count) & ((F.get(keys, at) < F.col("key")) | ((F.get(keys, at) == F.col("key")) & (F.get(ties, at) <= F.col("tie"))))
+
+    # A binary search for the last begin that isn't beyond the row.
+    number = F.aggregate(bits, F.lit(0), lambda at, step: F.when(reached(at + step), at + step).otherwise(at))
     placed = read.withColumn("block", number)
-    tops = {r["block"]: r["top"] for r in read.select(number.alias("block"), "key").groupBy("block").agg(F.max("key").alias("top")).collect()}
-    order = sorted(tops)
-    above = {b: order[(i + 1) % len(order)] for i, b in enumerate(order)}
-    tops_of = read.sparkSession.createDataFrame([(b, tops[b], above[b], b == order[-1]) for b in order] or [(0, 0, 0, True)], "block int, top bigint, above int, last boolean")
-    joined = placed.join(F.broadcast(tops_of), "block")
+    # A block's first row in descending order is the next one of the block above it.
+    tops = placed.groupBy("block").agg(F.max(F.struct("key", "tie")).alias("top"))
+    above = Window.partitionBy(F.lit(0)).orderBy("block")
+    around = tops.select("block", "top", F.coalesce(F.lead("block").over(above), F.min("block").over(Window.partitionBy(F.lit(0)))).alias("above"), F.lead("block").over(above).isNull().alias("last"))
+    joined = placed.join(F.broadcast(around), "block")
     own = F.struct(F.col("block"), F.lit(False).alias("ghost"), F.lit(False).alias("late"))
     ghost = F.struct(F.col("above").alias("block"), F.lit(True).alias("ghost"), F.col("last").alias("late"))
-    where = F.explode(F.when(F.col("key") == F.col("top"), F.array(own, ghost)).otherwise(F.array(own)))
-    return joined.select("key", "doc_id", "text", where.alias("at")).select("key", "doc_id", "text", "at.*")
+    where = F.explode(F.when(F.struct("key", "tie") == F.col("top"), F.array(own, ghost)).otherwise(F.array(own)))
+    return joined.select("key", "tie", "doc_id", "text", where.alias("at")).select("key", "tie", "doc_id", "text", "at.*")
+
+
+def _sides(half: Column) -> Column:
+    """What is counted of a row: its text, its edited text, and, in further rows of one number each, what belongs to the row itself."""
+    text, sha = F.col("text"), F.sha2(F.col("edited").cast("binary"), 256)
+    kind = lambda k, body: F.struct(F.lit(k).alias("side"), body.alias("body"))
+    own = [F.col("n").cast("string"), F.coalesce(F.col("doc_id"), F.lit(0)).cast("string"), F.col("doc_id").isNull().cast("int").cast("string")]
+    own += [F.conv(F.substring(sha, 15 * k + 1, 15), 16, 10) for k in range(5)]
+    plain = [kind(0, text), kind(2, F.lit("0")), *(kind(3 + k, c) for k, c in enumerate(own[:3]))]
+    return F.explode(F.when(F.col("ghost"), F.array(kind(0, text), kind(2, F.lit("1")))).otherwise(F.array(*plain, kind(1, F.col("edited")), *(kind(6 + k, c) for k, c in enumerate(own[3:])))))
 
 
 def fingerprint_with_edits(docs: DataFrame) -> DataFrame:
@@ -120,40 +168,36 @@ def fingerprint_with_edits(docs: DataFrame) -> DataFrame:
 
     Null texts are empty; a text without words has an empty fingerprint, which
     is like another empty one only.  Null ids come last, rows with one id in
-    the order of their texts.  Equal rows are kept; other columns are ignored.
+    the order of a hash of their texts.  Equal rows are kept; other columns are
+    ignored.  Texts are taken whole, however long; no rows give none.
 
     Texts are shuffled once, by blocks of neighbouring ids; all else happens
-    within a block's partition.
+    within a block's partition.  Blocks grow in number with the rows; rows of
+    one id are dealt to several as well, except equal ones.
     """
-    read = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LOWEST)).alias("key"), F.col("doc_id").cast("bigint").alias("doc_id"), whole_text().alias("text"))
+    read = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LOWEST)).alias("key"), F.xxhash64(whole_text()).alias("tie"), F.col("doc_id").cast("bigint").alias("doc_id"), whole_text().alias("text"))
     dealt = _with_blocks(read).repartition("block")
-    order = Window.partitionBy("block").orderBy("late", F.col("key").desc(), "text", "ghost")
-    n = F.length("text")
-    rows = dealt.withColumns({"rid": F.row_number().over(order), "next": F.lead("text").over(order), "n": n})
+    order = Window.partitionBy("block").orderBy("late", F.col("key").desc(), F.col("tie").desc(), "text", "ghost")
+    rows = dealt.withColumns({"rid": F.row_number().over(order), "next": F.lead("text").over(order), "n": F.length("text")})
     half = F.floor(F.col("n") / 2).cast("int")
     edited = F.concat(F.col("text").substr(F.lit(1), F.col("n") - half), F.coalesce(F.col("next"), F.lit("")).substr(F.lit(1), half))
-    rows = rows.select("block", "rid", "ghost", "doc_id", "n", "text", F.when(~F.col("ghost"), edited).alias("edited"))
-    sides = F.explode(F.when(F.col("ghost"), F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("body")))).otherwise(F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("body")), F.struct(F.lit(1).alias("side"), F.col("edited").alias("body")))))
-    bodies = rows.select("block", "rid", "ghost", "doc_id", "n", sides.alias("b")).select("block", "rid", "ghost", "doc_id", "n", "b.side", "b.body")
-    # What belongs to the row itself travels with one extra element that is no word, in longs, so that all aggregates stay in fixed-width buffers.
-    bodies = bodies.withColumn("sha", F.sha2(F.col("body").cast("binary"), 256))
-    each = bodies.select("block", "rid", "side", "ghost", "doc_id", "n", "sha", F.explode(F.concat(F.array(F.lit(None).cast("string")), _words(F.col("body")))).alias("word"))
-    own = {f"m{k}": F.conv(F.substring("sha", 15 * k + 1, 15), 16, 10).cast("bigint") for k in range(5)} | {"m5": F.col("n").cast("bigint"), "m6": F.col("doc_id"), "m7": F.col("ghost").cast("bigint")}
-    each = each.select("block", "rid", "side", F.when(F.col("word") != "", F.xxhash64("word")).alias("term"), *(F.when(F.col("word").isNull(), c).alias(k) for k, c in own.items()))
-    counted = each.groupBy("block", "rid", "side", "term").agg(F.count("*").alias("weight"), *(F.max(k).alias(k) for k in own))
-    quantiles = gamma_quantiles()
-    r_table, c_table = _array(quantiles, "double"), _array([math.log(x) for x in quantiles], "double")
-    logged = counted.withColumn("lw", F.when(F.col("term").isNotNull(), F.log(F.col("weight").cast("double"))))
-    parts = logged.withColumn("part", F.explode(F.array(*map(F.lit, range(SAMPLES // AT_ONCE)))))
-    samples = [F.min(_sample(i, F.col("part"), F.col("term"), F.col("lw"), r_table, c_table)).alias(f"s{i}") for i in range(AT_ONCE)]
-    drawn = parts.groupBy("block", "rid", "side", "part").agg(*samples, *(F.max(k).alias(k) for k in own))
-    digest = F.concat(*(F.lpad(F.lower(F.hex(f"m{k}")), 15 if k < 4 else 4, "0") for k in range(5)))
-    prints = drawn.select("block", "rid", "side", "part", _fingerprint([f"s{i}" for i in range(AT_ONCE)]).alias("print"), digest.alias("sha"), "m5", "m6", "m7")
-    both = prints.groupBy("block", "rid").agg(
-        F.max("m6").alias("doc_id"), F.max("m5").alias("n_chars"), F.max("m7").alias("ghost"),
-        F.max(F.when(F.col("side") == 1, F.col("sha"))).alias("edited_sha256"),
-        _both_parts(0).alias("fingerprint"),
-        _both_parts(1).alias("edited_fingerprint"),
+    bodies = rows.withColumn("edited", edited).select("block", "rid", _sides(half).alias("b")).select("block", "rid", "b.*")
+    each = bodies.select("block", "rid", "side", F.explode(_words(F.col("body"))).alias("word")).where("word <> ''")
+    word = F.col("side") < 2
+    each = each.select("block", "rid", F.greatest("side", F.lit(1)).alias("kind"), F.when(word, F.xxhash64("word")).otherwise(0).alias("term"), F.when(word, F.when(F.col("side") == 0, 1).otherwise(0)).otherwise(F.col("word").try_cast("bigint")).alias("a"), F.when(F.col("side") == 1, 1).otherwise(0).alias("b"))
+    # Both texts' counts of a word are one row, as their draws are the same.
+    counted = each.groupBy("block", "rid", "kind", "term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    weight = lambda c: F.when((F.col("kind") == 1) & (F.col(c) > 0), F.log(F.col(c).cast("double")))
+    # A row for each sample, in the order of the texts, so that the few minima in question stay at hand; a number of the row's own is one more, as it is.
+    ordered = counted.select("block", "rid", "kind", "term", "a", weight("a").alias("wa"), weight("b").alias("wb")).sortWithinPartitions("block", "rid")
+    own, every = F.col("kind") > 1, F.sequence(F.lit(0), F.lit(SAMPLES - 1))
+    spread = ordered.select("block", "rid", "kind", "term", "a", "wa", "wb", F.explode(F.when(own, F.array(-F.col("kind"))).otherwise(every)).alias("part"))
+    drawn = _with_values(spread).groupBy("block", "rid", "part").agg(F.min(F.when(own, F.col("a")).otherwise(F.col("va"))).alias("va"), F.min("vb").alias("vb"))
+    of = lambda k: F.max(F.when(F.col("part") == -k, F.col("va")))
+    digest = F.concat(*(F.lpad(F.lower(F.hex(of(6 + k))), 15 if k < 4 else 4, "0") for k in range(5)))
+    both = drawn.groupBy("block", "rid").agg(
+        of(2).alias("ghost"), of(3).alias("n_chars"), F.when(of(5) == 0, of(4)).alias("doc_id"), digest.alias("edited_sha256"),
+        _fingerprint("va").alias("fingerprint"), _fingerprint("vb").alias("edited_fingerprint"),
     )
     near = both.withColumn("next", F.lead("fingerprint").over(Window.partitionBy("block").orderBy("rid"))).where("ghost = 0")
     return near.select(
