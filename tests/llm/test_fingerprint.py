@@ -109,16 +109,19 @@ def test_samples_agree_as_often_as_weights_do(spark, docs, words):
     assert apart < 0.01
 
 
-def test_quantiles(spark):
-    """The tables with their tails against bisection."""
-    plain = [gamma_quantile(max(i, 0.5) / fingerprint._STEPS) for i in range(fingerprint._STEPS)]
-    plain.append(plain[-1])
-    points = [2.0**-33, 1e-7, 1e-4, 0.007, 0.0079, 0.1, 0.5, 0.9, 0.99, 0.9925, 0.9999, 1 - 1e-7, 1 - 2.0**-33]
-    u = spark.createDataFrame([(x,) for x in points], "u double")
-    tables = fingerprint._array(plain, "double"), fingerprint._array([math.log(x) for x in plain], "double")
-    for r in u.select("u", fingerprint._quantile(F.col("u"), tables[0], False).alias("x"), fingerprint._quantile(F.col("u"), tables[1], True).alias("l")).collect():
-        want = gamma_quantile(r.u)
-        assert abs(r.x / want - 1) < 2e-4 and abs(r.l - math.log(want)) < 2e-4, r
+def test_draws(spark):
+    """r and the logarithm of c, from the tables and in both tails, against bisection."""
+    rows = spark.range(20_000).select(F.lit(3).alias("part"), F.xxhash64("id").alias("term"))
+    tails = 0
+    for x in fingerprint._with_draws(rows, range(2)).collect():
+        for i in range(2):
+            h = hashed(struct.pack("<q", x.term), hashed(struct.pack("<i", 6 + i)))
+            u, v = (h >> 32) / (1 << 32), (h & 0xFFFFFFFF) / (1 << 32)
+            tails += u > 1 - 1 / 128 or v < 1 / 128
+            if x.term % 8 == 0 or u > 1 - 1 / 128 or v < 1 / 128:
+                r, c = gamma_quantile(u + 2.0**-33), gamma_quantile(v + 2.0**-33)
+                assert abs(x[f"r{i}"] - r) < (1e-3 * r if u > 32 / 4096 else 8e-3) and (abs(x[f"c{i}"] - math.log(c)) < 1e-3 or v > 0.999), (u, v)
+    assert tails > 200
 
 
 def test_one_id_fills_several_blocks(spark, docs, monkeypatch):

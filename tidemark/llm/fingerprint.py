@@ -28,7 +28,9 @@ DIGITS = 4
 #: Documents of a block, which a task handles together.
 BLOCK = 500
 _LOWEST = -(1 << 63)
-#: Steps of the tables, and how many of them at either end a formula replaces.
+#: Samples of a row; the code for more of them is too long for the JVM to compile.
+AT_ONCE = 2
+#: Steps of the tables (12 bits), and how many of them at either end a formula replaces.
 _STEPS, _TAIL = 1 << 12, 1 << 5
 #: Beyond all values of a sample but for one in 2**100, and steps of a value.
 _OFFSET, _SCALE = 128.0, float(1 << 35)
@@ -48,59 +50,76 @@ def gamma_quantile(p: float) -> float:
     return (low + high) / 2
 
 
-def _between(u: Column, table: Column) -> Column:
-    """The table at ``u``, with straight lines between its entries."""
-    scaled = u * F.lit(float(_STEPS))
-    at = scaled.cast("int")
-    low = F.get(table, at)
-    return low + (F.get(table, at + 1) - low) * (scaled - at)
+def _tables() -> tuple[Column, Column]:
+    """The inverse at every step, and its logarithm."""
+    entries = [gamma_quantile(max(i, 0.5) / _STEPS) for i in range(_STEPS)]
+    entries.append(gamma_quantile(1 - 0.5 / _STEPS))
+    return _array([0.0, *entries[1:]], "double"), _array([math.log(x) for x in entries], "double")
 
 
-def _quantile(u: Column, table: Column, logs: bool) -> Column:
-    """The inverse at ``u``, or its logarithm.
+def _with_draws(df: DataFrame, each: range) -> DataFrame:
+    """Columns r, c (its logarithm), b and f (a hash, for the name), numbered, of the samples ``each`` of ``part`` and ``term``.
 
-    Near 0 it is ``s + s^2 / 3 + 11 s^3 / 72`` with ``s = sqrt(2 u)``, near 1
-    what ``x = ln(1 + x) - ln(1 - u)`` comes to.
+    Between the tables' entries lie straight lines.  Near 0, c is ``s + s^2 / 3
+    + 11 s^3 / 72`` with ``s = sqrt(2 u)``; near 1, r is what solves ``r = ln(1
+    + r) + y`` with ``y = -ln(1 - u)``.  What is used more than once is a
+    column of its own, so that it is computed once, and its code stays small.
+    (The smallest r, which hardly move a value, and the largest c, which are no
+    minimum, stay on the lines.)
     """
-    s = F.sqrt(u * F.lit(2.0))
-    below = F.log(s) + s * (F.lit(1 / 3) + s * F.lit(7 / 72)) if logs else s * (F.lit(1.0) + s * (F.lit(1 / 3) + s * F.lit(11 / 72)))
-    start = above = -F.log(F.lit(1.0) - u)
-    for _ in range(6):
-        above = start + F.log1p(above)
-    tail = F.lit(_TAIL / _STEPS)
-    return F.when((u > tail) & (u < F.lit(1.0) - tail), _between(u, table)).when(u <= tail, below).otherwise(F.log(above) if logs else above)
+    plain, logs = _tables()
+    step = lambda bits: bits.bitwiseAND(F.lit(_STEPS - 1)).cast("int")
+    rest = lambda bits: (bits.bitwiseAND(F.lit((1 << 20) - 1)) + F.lit(0.5)) * F.lit(2.0**-20)
+    share = lambda x, y: (F.col(x) + F.col(y)) * F.lit(1.0 / _STEPS)
+    df = df.withColumns({f"h{i}": F.xxhash64(F.col("part") * F.lit(len(each)) + F.lit(i), F.col("term")) for i in each})
+    df = df.withColumns({x + str(i): c for i in each for x, c in (
+        ("f", F.xxhash64(f"h{i}")), ("u", step(F.shiftrightunsigned(f"h{i}", 52))), ("v", step(F.shiftrightunsigned(f"h{i}", 20))),
+        ("p", rest(F.shiftrightunsigned(f"h{i}", 32))), ("q", rest(F.col(f"h{i}"))),
+    )})
+    df = df.withColumns({x + str(i): c for i in each for x, c in (
+        ("s", F.when(F.col(f"v{i}") < _TAIL, F.sqrt(share(f"v{i}", f"q{i}") * F.lit(2.0)))), ("y", F.when(F.col(f"u{i}") >= _STEPS - _TAIL, -F.log(F.lit(1.0) - share(f"u{i}", f"p{i}")))),
+        ("i", F.get(plain, F.col(f"u{i}"))), ("j", F.get(logs, F.col(f"v{i}"))),
+    )})
+
+    def line(table: Column, low: str, at: str, part: str) -> Column:
+        return F.col(low) + (F.get(table, F.col(at) + 1) - F.col(low)) * F.col(part)
+
+    def beyond(y: Column, times: int) -> Column:
+        return y + F.log(F.lit(1.0) + beyond(y, times - 1)) if times else y
+
+    def drawn(i: int) -> dict[str, Column]:
+        s, y = F.col(f"s{i}"), F.col(f"y{i}")
+        r = F.when(y.isNull(), line(plain, f"i{i}", f"u{i}", f"p{i}")).otherwise(beyond(y, 4))
+        c = F.when(s.isNull(), line(logs, f"j{i}", f"v{i}", f"q{i}")).otherwise(F.log(s) + s * (F.lit(1 / 3) + s * F.lit(7 / 72)))
+        return {f"r{i}": r, f"c{i}": c, f"b{i}": F.shiftrightunsigned(f"f{i}", 20) * F.lit(2.0**-44)}
+
+    return df.withColumns({k: c for i in each for k, c in drawn(i).items()})
 
 
 def _with_values(df: DataFrame) -> DataFrame:
-    """Columns ``va`` and ``vb`` for sample ``part`` of ``term`` and log-weights ``wa`` and ``wb``: the value above 20 bits of its name, as one long, so that a minimum picks both; null where the weight is.
-
-    What is used more than once is a column of its own, so that it is computed once.
-    """
-    entries = [gamma_quantile(max(i, 0.5) / _STEPS) for i in range(_STEPS)]
-    entries.append(entries[-1])
-    plain, logs = _array(entries, "double"), _array([math.log(x) for x in entries], "double")
-    df = df.withColumn("h", F.xxhash64("part", "term")).withColumn("f", F.xxhash64("h"))
-    uniform = lambda bits: (bits + F.lit(0.5)) * F.lit(2.0**-32)
-    df = df.withColumns({"u": uniform(F.shiftrightunsigned("h", 32)), "v": uniform(F.col("h").bitwiseAND(F.lit((1 << 32) - 1)))})
-    df = df.withColumns({"r": _quantile(F.col("u"), plain, False), "c": _quantile(F.col("v"), logs, True), "b": F.shiftrightunsigned("f", 20) * F.lit(2.0**-44)})
-    df = df.withColumns({f"t{w}": F.floor(F.col(f"w{w}") / F.col("r") + F.col("b")) for w in "ab"})
-
-    def value(t: Column) -> Column:
-        found = F.col("c") - F.col("r") * (t - F.col("b") + F.lit(1.0))
-        who = F.col("f").bitwiseXOR(t * F.lit(40503)).bitwiseAND(F.lit((1 << 20) - 1))
+    """Columns ``va`` and ``vb``, numbered, for the samples of ``part``, a ``term`` and log-weights ``wa`` and ``wb``: the value above 20 bits of its name, as one long, so that a minimum picks both; null where the weight is."""
+    each = range(AT_ONCE)
+    df = _with_draws(df, each).withColumns({f"t{w}{i}": F.floor(F.col(f"w{w}") / F.col(f"r{i}") + F.col(f"b{i}")) for i in each for w in "ab"})
+
+    def value(w: str, i: int) -> Column:
+        t = F.col(f"t{w}{i}")
+        found = F.col(f"c{i}") - F.col(f"r{i}") * (t - F.col(f"b{i}") + F.lit(1.0))
+        who = F.col(f"f{i}").bitwiseXOR(t * F.lit(40503)).bitwiseAND(F.lit((1 << 20) - 1))
         return F.shiftleft(F.floor((found + F.lit(_OFFSET)) * F.lit(_SCALE)), 20).bitwiseOR(who)
 
-    return df.withColumns({"va": value(F.col("ta")), "vb": value(F.col("tb"))})
+    return df.withColumns({f"v{w}{i}": value(w, i) for i in each for w in "ab"})
 
 
 def _words(text: Column) -> Column:
     return F.split(F.trim(text), r"\s+")
 
 
-def _fingerprint(column: str) -> Column:
+def _fingerprint(side: str) -> Column:
     """The names of all samples, in their order; empty without any."""
-    found = F.array_sort(F.collect_list(F.when((F.col("part") >= 0) & F.col(column).isNotNull(), F.struct("part", column))))
-    return F.array_join(F.transform(found, lambda x: F.lower(F.lpad(F.hex(x[column].bitwiseAND(F.lit((1 << 4 * DIGITS) - 1))), DIGITS, "0"))), "")
+    columns = [f"v{side}{i}" for i in range(AT_ONCE)]
+    found = F.array_sort(F.collect_list(F.when((F.col("part") >= 0) & F.col(columns[0]).isNotNull(), F.struct("part", *columns))))
+    cell = lambda x: F.lower(F.lpad(F.hex(x.bitwiseAND(F.lit((1 << 4 * DIGITS) - 1))), DIGITS, "0"))
+    return F.array_join(F.transform(found, lambda x: F.concat(*(cell(x[c]) for c in columns))), "")
 
 
 def likeness(one: Column, two: Column) -> Column:
@@ -188,16 +207,17 @@ def fingerprint_with_edits(docs: DataFrame) -> DataFrame:
     # Both texts' counts of a word are one row, as their draws are the same.
     counted = each.groupBy("block", "rid", "kind", "term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     weight = lambda c: F.when((F.col("kind") == 1) & (F.col(c) > 0), F.log(F.col(c).cast("double")))
-    # A row for each sample, in the order of the texts, so that the few minima in question stay at hand; a number of the row's own is one more, as it is.
-    ordered = counted.select("block", "rid", "kind", "term", "a", weight("a").alias("wa"), weight("b").alias("wb")).sortWithinPartitions("block", "rid")
-    own, every = F.col("kind") > 1, F.sequence(F.lit(0), F.lit(SAMPLES - 1))
-    spread = ordered.select("block", "rid", "kind", "term", "a", "wa", "wb", F.explode(F.when(own, F.array(-F.col("kind"))).otherwise(every)).alias("part"))
-    drawn = _with_values(spread).groupBy("block", "rid", "part").agg(F.min(F.when(own, F.col("a")).otherwise(F.col("va"))).alias("va"), F.min("vb").alias("vb"))
-    of = lambda k: F.max(F.when(F.col("part") == -k, F.col("va")))
+    # A row for each two samples; a number of the row's own is one more, as it is.
+    weighted = counted.select("block", "rid", "kind", "term", "a", weight("a").alias("wa"), weight("b").alias("wb"))
+    own, every = F.col("kind") > 1, F.sequence(F.lit(0), F.lit(SAMPLES // AT_ONCE - 1))
+    spread = weighted.select("block", "rid", "kind", "term", "a", "wa", "wb", F.explode(F.when(own, F.array(-F.col("kind"))).otherwise(every)).alias("part"))
+    values = [f"v{w}{i}" for i in range(AT_ONCE) for w in "ab"]
+    drawn = _with_values(spread).groupBy("block", "rid", "part").agg(F.min(F.when(own, F.col("a")).otherwise(F.col("va0"))).alias("va0"), *(F.min(c).alias(c) for c in values[1:]))
+    of = lambda k: F.max(F.when(F.col("part") == -k, F.col("va0")))
     digest = F.concat(*(F.lpad(F.lower(F.hex(of(6 + k))), 15 if k < 4 else 4, "0") for k in range(5)))
     both = drawn.groupBy("block", "rid").agg(
         of(2).alias("ghost"), of(3).alias("n_chars"), F.when(of(5) == 0, of(4)).alias("doc_id"), digest.alias("edited_sha256"),
-        _fingerprint("va").alias("fingerprint"), _fingerprint("vb").alias("edited_fingerprint"),
+        _fingerprint("a").alias("fingerprint"), _fingerprint("b").alias("edited_fingerprint"),
     )
     near = both.withColumn("next", F.lead("fingerprint").over(Window.partitionBy("block").orderBy("rid"))).where("ghost = 0")
     return near.select(
