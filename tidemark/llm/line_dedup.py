@@ -21,13 +21,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import materialize, texts_of
+from tidemark.llm._common import discard, materialize, texts_of, tidied
 from tidemark.llm.hashing import shingles, text_chunks, words
 
 _FIELD = re.compile(r"\d|(?<!\S)(?:[a-f]{8,}|[A-F]{8,})(?!\S)")
 VARIABLE = "<*>"
-#: Leading tokens in a path; tokens that a line must have; tokens from which on quarters count, too.
-DEPTH, LEAST_TOKENS, QUARTERS_FROM = 2, 3, 12
+#: Leading tokens in a path; tokens that a merged template must state; tokens from which on quarters count, too.
+DEPTH, LEAST_STATED, QUARTERS_FROM = 2, 3, 12
 #: Share of a short line's tokens, in hundredths, that agree where one or two don't.
 LEAST_AGREE = 60
 #: Shingle hashes in a text's sample; the shares of shingles from which on texts are related, outside some lines and as wholes; texts of one part of a template's.
@@ -47,10 +47,10 @@ def template(line: str) -> list[str]:
 
 
 def stated_keys(line: str) -> list[tuple[int, bool]]:
-    """Hashes of the whole template and of the parts that may stand for it, and whether it is a whole one that states ``LONG`` tokens; none for a line of few tokens."""
+    """Hashes of the whole template and of the parts that may stand for it, and whether it is a whole one that states ``LONG`` tokens; none for a line without tokens."""
     tokens = template(line)
     n = len(tokens)
-    if n < LEAST_TOKENS:
+    if not n:
         return []
     path = [str(n), *tokens[:DEPTH]]
     parts = [tokens]
@@ -61,7 +61,7 @@ def stated_keys(line: str) -> list[tuple[int, bool]]:
     else:
         open_ = [i for i in range(DEPTH, n) if tokens[i] != VARIABLE]
         for count in (1, 2):
-            if 100 * (n - count) >= LEAST_AGREE * n and n - count >= LEAST_TOKENS and len(open_) > count:
+            if 100 * (n - count) >= LEAST_AGREE * n and n - count >= LEAST_STATED and len(open_) > count:
                 parts += [[VARIABLE if i in out else t for i, t in enumerate(tokens)] for out in combinations(open_, count)]
     long = sum(t != VARIABLE for t in tokens) >= LONG
     return [(xxhash.xxh3_64_intdigest("\x00".join([*path, *p]).encode("utf-8", "surrogatepass")) - (1 << 63), long and p is tokens) for p in parts]
@@ -77,6 +77,7 @@ def _path(tokens: list[str]) -> int:
     return xxhash.xxh3_64_intdigest("\x00".join([str(len(tokens)), *lead]).encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
+@tidied
 def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each line that has keys: the text's digest, the line's number and its path."""
     for batch in batches:
@@ -84,7 +85,7 @@ def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for one, two, text in zip(batch.column("h1").to_pylist(), batch.column("h2").to_pylist(), texts_of(batch.column("text")), strict=True):
             for j, line in enumerate(text.split("\n")):
                 tokens = line.split()
-                if len(tokens) >= LEAST_TOKENS:
+                if tokens:
                     h1.append(one)
                     h2.append(two)
                     number.append(j)
@@ -133,6 +134,7 @@ class _Sample:
         return (rest.tolist(), every, False) if len(rest) else (every, every, True)
 
 
+@tidied
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each text and key of its lines ``active``: the digest, the key, whether it is ``long``, and the lines."""
     for batch in batches:
@@ -153,6 +155,7 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(key, pa.int64()), pa.array(long, pa.bool_()), pa.array(lines, pa.list_(pa.int32()))], names=["h1", "h2", "key", "long", "lines"])
 
 
+@tidied
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each text and key ``wanted``, with a sample of the text."""
     for batch in batches:
@@ -235,12 +238,15 @@ def dropped_lines(docs: DataFrame, least_families: int = 10, least_families_long
     # Only a path that enough texts have can hold a template that recurs.
     lines = materialize(texts.mapInArrow(_paths, "h1 bigint, h2 bigint, line int, path bigint, long boolean"), "lines")
     common = lines.groupBy("path", "long", "h1", "h2").agg(F.lit(1).alias("one")).groupBy("path", "long").agg(F.count("*").alias("texts")).where(F.col("texts") >= least)
-    active = lines.join(common.select("path"), "path").groupBy("h1", "h2").agg(F.collect_list("line").alias("active"))
+    common = materialize(common.select("path").distinct(), "common", free=True)  # written first, so that the join below can split a common path
+    active = materialize(lines.join(common, "path").groupBy("h1", "h2").agg(F.collect_set("line").alias("active")), "active", free=True)
+    discard(lines, common)
     keyed = materialize(texts.join(active, ["h1", "h2"]).mapInArrow(_keyed, "h1 bigint, h2 bigint, key bigint, long boolean, lines array<int>"), "keyed", free=True)
     sizes = keyed.groupBy("key", least.alias("least")).agg(F.count("*").alias("texts"), F.bit_xor(F.xxhash64("h1", "h2", "lines")).alias("holders")).where("texts >= least")
     # Of keys that the same lines hold, one is enough: the one that needs the fewest families.
     sizes = sizes.groupBy("texts", "holders").agg(F.min(F.struct("least", "key")).alias("k")).select("k.*", "texts")
-    sizes = sizes.select("key", "least", F.ceil(F.col("texts") / F.lit(PART)).alias("parts"))
+    sizes = materialize(sizes.select("key", "least", F.ceil(F.col("texts") / F.lit(PART)).alias("parts")), "sizes", free=True)
+    discard(active)
     wanted = keyed.join(sizes, "key").select("h1", "h2", F.struct("key", F.pmod("h2", "parts").alias("part"), "least", "lines").alias("k"))
     wanted = materialize(wanted.groupBy("h1", "h2").agg(F.collect_list("k").alias("wanted")), "wanted", free=True)
     rows = texts.join(wanted, ["h1", "h2"]).mapInArrow(_sampled, SAMPLED)
@@ -248,8 +254,11 @@ def dropped_lines(docs: DataFrame, least_families: int = 10, least_families_long
     some = rows.repartition("key", "part").sortWithinPartitions("key", "part", "h1", "h2").mapInArrow(_unrelated(["key", "part"]), SAMPLED)
     best = some.repartition("key").sortWithinPartitions("key", "h1", "h2").mapInArrow(_unrelated(["key"]), SAMPLED)
     recurs = materialize(best.groupBy("key", "least").agg(F.count("*").alias("families")).where("families >= least").select("key"), "recurring", free=True)
+    discard(texts, sizes, wanted)
     hits = keyed.join(recurs, "key").select("h1", "h2", F.explode("lines").alias("line"))
-    return hits.groupBy("h1", "h2").agg(F.collect_set("line").alias("lines"))
+    gone = materialize(hits.groupBy("h1", "h2").agg(F.collect_set("line").alias("lines")), "dropped", free=True)
+    discard(keyed, recurs)
+    return gone
 
 
 def drop_lines(docs: DataFrame, least_families: int = 10, least_families_long: int = 2) -> DataFrame:
@@ -257,9 +266,10 @@ def drop_lines(docs: DataFrame, least_families: int = 10, least_families_long: i
 
     Lines end at ``\\n``.  A null text stays null, an empty one empty; a text
     of recurring lines only becomes empty.  Equal texts lose the same lines.  A
-    column of ``docs`` named ``n_dropped`` is replaced.
+    column of ``docs`` named ``n_dropped`` is replaced, others are kept.  Lines
+    without tokens always stay.  Long texts are read whole; no rows give none.
     """
-    gone = materialize(dropped_lines(docs, least_families, least_families_long), "dropped", free=True)
+    gone = dropped_lines(docs, least_families, least_families_long)
     text = F.col("text")
     keyed = docs.drop("n_dropped").withColumns({"__h1": F.xxhash64(text), "__h2": F.xxhash64(text, F.lit(1))})
     gone = gone.select(F.col("h1").alias("__h1"), F.col("h2").alias("__h2"), F.col("lines").alias("__lines"))
