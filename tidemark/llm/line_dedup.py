@@ -46,25 +46,45 @@ def template(line: str) -> list[str]:
     return [VARIABLE if _FIELD.search(t) else t for t in tokens] if _FIELD.search(line) else tokens
 
 
+def _hash(token: str, seed: int) -> int:
+    return xxhash.xxh3_64_intdigest(token.encode("utf-8", "surrogatepass"), seed)
+
+
+#: Seeds beyond all positions: of a line's number of tokens, and of pairs of quarters; the hash of a variable token at the positions of short lines.
+_COUNT, _PAIRS = (1 << 62), {pair: (1 << 62) + 1 + k for k, pair in enumerate(combinations(range(4), 2))}
+_PAIR_HASHES = {pair: _hash(VARIABLE, seed) for pair, seed in _PAIRS.items()}
+_OPEN = [_hash(VARIABLE, i) for i in range(QUARTERS_FROM)]
+
+
+def _signed(x: int) -> int:
+    return ((x + (1 << 63)) & ((1 << 64) - 1)) - (1 << 63)
+
+
 def stated_keys(line: str) -> list[tuple[int, bool]]:
-    """Hashes of the whole template and of the parts that may stand for it, and whether it is a whole one that states ``LONG`` tokens; none for a line without tokens."""
+    """Hashes of the whole template and of the parts that may stand for it, and whether it is a whole one that states ``LONG`` tokens; none for a line without tokens.
+
+    A template's hash is the sum of those of its tokens at their positions, so
+    a part's takes a few additions.
+    """
     tokens = template(line)
     n = len(tokens)
     if not n:
         return []
-    path = [str(n), *tokens[:DEPTH]]
-    parts = [tokens]
+    each = [_hash(t, i) for i, t in enumerate(tokens)]
+    count = _hash(str(n), _COUNT)
+    whole = count + sum(each)
+    found = [(_signed(whole), n >= LONG and sum(t != VARIABLE for t in tokens) >= LONG)]
     if n >= QUARTERS_FROM:
+        path = count + sum(each[:DEPTH])
         edges = [DEPTH + (n - DEPTH) * i // 4 for i in range(5)]
-        quarters = [tokens[a:b] for a, b in zip(edges, edges[1:], strict=False)]
-        parts += [[f"<{i}{j}", *quarters[i], *quarters[j]] for i, j in combinations(range(4), 2)]
+        quarters = [sum(each[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
+        found += [(_signed(path + own + quarters[i] + quarters[j]), False) for (i, j), own in _PAIR_HASHES.items()]
     else:
         open_ = [i for i in range(DEPTH, n) if tokens[i] != VARIABLE]
-        for count in (1, 2):
-            if 100 * (n - count) >= LEAST_AGREE * n and n - count >= LEAST_STATED and len(open_) > count:
-                parts += [[VARIABLE if i in out else t for i, t in enumerate(tokens)] for out in combinations(open_, count)]
-    long = sum(t != VARIABLE for t in tokens) >= LONG
-    return [(xxhash.xxh3_64_intdigest("\x00".join([*path, *p]).encode("utf-8", "surrogatepass")) - (1 << 63), long and p is tokens) for p in parts]
+        for out in (1, 2):
+            if 100 * (n - out) >= LEAST_AGREE * n and n - out >= LEAST_STATED and len(open_) > out:
+                found += [(_signed(whole + sum(_OPEN[i] - each[i] for i in places)), False) for places in combinations(open_, out)]
+    return found
 
 
 def template_keys(line: str) -> list[int]:
@@ -195,17 +215,20 @@ def related(one: tuple[frozenset, frozenset, int, bool], two: tuple[frozenset, f
 def _unrelated(names: list[str]):
     """Of rows sorted by ``names``, for each value of these: rows that aren't related to one taken before, ``least`` at most."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, taken = None, []
         for batch in batches:
-            rows = batch.to_pylist()
+            places = zip(*(batch.column(c).to_pylist() for c in names), strict=True)
+            most, least, alone = (batch.column(c).to_pylist() for c in ("most", "least", "alone"))
+            # Lists only become objects where a row is compared.
+            lists = [(c.offsets.to_numpy(), c.values.to_numpy()) for c in (batch.column("sample"), batch.column("text"))]
             keep = []
-            for i, r in enumerate(rows):
-                here = tuple(r[c] for c in names)
+            for i, here in enumerate(places):
                 if here != at:
                     at, taken = here, []
-                if len(taken) < r["least"]:
-                    made = (frozenset(r["sample"]), frozenset(r["text"]), r["most"], r["alone"])
+                if len(taken) < least[i]:
+                    made = (*(frozenset(values[offsets[i] : offsets[i + 1]].tolist()) for offsets, values in lists), most[i], alone[i])
                     if not any(related(made, t) for t in taken):
                         taken.append(made)
                         keep.append(i)
