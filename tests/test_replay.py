@@ -7,33 +7,60 @@ from pyspark.sql import functions as F
 
 from tidemark import schema as S
 from tidemark.operators import gc, intents, mvcc, transactions
-from tidemark.plans.replay import Chains, Engine, Replay, backoff_range, md5_owner
+from tidemark.plans.replay import Client, Engine, Replay, Store, backoff_range, md5_owner, recovered_rows, replay
 
 
 def test_snapshot_reads():
-    c = Chains()
-    assert c.read("k", 10, 1) == (False, None, False)
-    c.write("k", b"mine", 1)
-    assert c.read("k", 10, 1)[1] == b"mine" and not c.read("k", 10, 2)[0]
-    c = Chains()
-    c.restore("k", b"v50", 50)
-    c.restore("k", b"v100", 100)
-    assert [c.read("k", t, 3)[1] for t in (49, 50, 75, 99, 100, 150)] == [None, b"v50", b"v50", b"v50", b"v100", b"v100"]
-    assert c.reads[3] == {"k"}
-    c.write("k", b"intent", 2)
-    assert c.read("k", 50, 2)[1] == b"intent" and c.read("k", 50, 9)[1] == b"v50"
-
-
-def test_write_conflicts_streaks_and_votes():
-    c = Chains()
-    assert c.write("k", b"1", 1) and not c.write("k", b"2", 2) and c.write("k", b"3", 1)
-    assert [c.note(2, False) for _ in range(3)] == [1, 2, 3] and c.note(3, False) == 1 and c.note(2, True) == 0
-    assert c.vote(1) == "" and c.vote(2) == S.NO_INTENTS
-    c.commit(1, 7)
-    assert c.vote(1) == S.NO_INTENTS and c.read("k", 7, 5)[1] == b"3" and list(c.latest()) == [("k", b"3", 7, False)]
-    c.write("n", b"x", 4)
-    c.abort(4)
-    assert "n" not in c.chains
+    s, one, two = Store(), Client(), Client()
+    assert s.get(1, one, "k", 10) == (False, None, False)
+    s.put(1, one, "k", b"mine")
+    assert s.get(1, one, "k", 10)[1] == b"mine" and not s.get(2, two, "k", 10)[0] and not one.reads
+    s, three = Store(), Client()
+    s.add("k", 100, b"v100")
+    s.add("k", 50, b"v50")
+    assert [s.get(3, three, "k", t)[1] for t in (49, 50, 75, 99, 100, 150)] == [None, b"v50", b"v50", b"v50", b"v100", b"v100"]
+    assert three.reads == {"k"}
+    s.put(2, two, "k", b"intent")
+    assert s.get(2, two, "k", 50)[1] == b"intent" and s.get(9, Client(), "k", 50)[1] == b"v50"
+    s.end(2, two, None)
+    s.end(3, three, None)
+    assert three.reads == {"k"} and s.get(2, two, "k", 60)[1] == b"v50"
+
+
+def test_write_conflicts_and_votes():
+    s, one, two, four = Store(), Client(), Client(), Client()
+    assert s.put(1, one, "k", b"1") and not s.put(2, two, "k", b"2") and s.put(1, one, "k", b"3")
+    assert s.ready(1, one) == "" and s.ready(2, two) == s.ready(1, one, {"other"}) == S.NO_INTENTS
+    s.end(1, one, 7)
+    assert s.ready(1, one) == S.NO_INTENTS and s.get(5, Client(), "k", 7)[1] == b"3" and list(s.newest()) == [("k", 7, False, b"3")]
+    s.put(4, four, "n", b"x")
+    s.holder["n"] = 5
+    assert s.ready(4, four) == "intent_replaced:n"
+    del s.holder["n"]
+    assert s.ready(4, four) == "intent_missing:n"
+    s.end(4, four, 9)
+    assert "n" not in s.versions
+
+
+def test_streaks():
+    r = Replay(md5_owner(1))
+    call = lambda op, tx=None, key=None: r.handle({"op": op, "now_ms": 0, "key": key, "request_id": 0, "tx_id": tx, "value": b"v", "priority": 500})
+    a, b, c = (call("BEGIN")["tx_id"] for _ in range(3))
+    call("TX_SET", a, "k")
+    assert [call("TX_SET", b, "k")["retry_after_ms"] for _ in range(3)] == [backoff_range(n, 500)[1] for n in (1, 2, 3)]
+    assert call("TX_SET", c, "k")["retry_after_ms"] == backoff_range(1, 500)[1]
+    assert call("TX_SET", b, "free")["success"] and call("TX_SET", b, "k")["retry_after_ms"] == backoff_range(1, 500)[1]
+
+
+def test_a_recovered_store_goes_on(spark):
+    versions = spark.createDataFrame([("a", b"1", 50, False), ("a", b"2", 60, False), ("t", b"", 55, True)], "key string, value binary, commit_ts bigint, is_deleted boolean")
+    outcomes = spark.createDataFrame([(4, S.COMMITTED), (6, S.ABORTED)], "tx_id bigint, state string")
+    counters = spark.createDataFrame([(6, 60)], "max_tx_id bigint, max_ts bigint")
+    e = Engine(spark, 2)
+    e.begin()
+    got, gone, old = e.execute(7, "GET", "a"), e.execute(7, "GET", "t"), e.commit(4)
+    r = {x.request_id: x for x in replay(recovered_rows(versions, outcomes, counters).unionByName(e.commands()), 2).collect()}
+    assert (r[0].tx_id, r[0].snapshot_ts) == (7, 61) and bytes(r[got].value) == b"2" and r[gone].found and r[old].error == S.TX_NOT_ACTIVE
 
 
 GC_CASES = [
@@ -45,11 +72,11 @@ GC_CASES = [
 
 @pytest.mark.parametrize("chains, watermark, removed, left", GC_CASES)
 def test_garbage(spark, chains, watermark, removed, left):
-    c = Chains()
+    c = Store()
     for k, versions in chains.items():
         for ts, gone in versions:
-            c.restore(k, b"v", ts, bool(gone))
-    assert c.collect(watermark) == removed and {(k, v[0]) for k, vs in c.chains.items() for v in vs} == left
+            c.add(k, ts, b"v", bool(gone))
+    assert c.forget_before(watermark) == removed and {(k, v[0]) for k, vs in c.versions.items() for v in vs} == left
     rows = [(k, i, ts, bool(gone)) for k, versions in chains.items() for i, (ts, gone) in enumerate(versions)]
     df = spark.createDataFrame(rows, "key string, chain_pos bigint, commit_ts bigint, is_deleted boolean")
     assert {(r.key, r.commit_ts) for r in gc.survivors(df, watermark).collect()} == left
