@@ -8,7 +8,7 @@ from tidemark.functions.scalar import crc_mask, crc_unmask
 from tidemark.operators import recovery
 from tidemark.schema import WAL_TYPES
 from tidemark.sources import snapshot
-from tidemark.sources.wal import WalFile, decode, decode_records, encode, encode_records, read_all, register, write_log
+from tidemark.sources.wal import WalFile, decode, decode_records, encode, encode_records, log_state, read_all, register, write_log
 
 
 def record(lsn, kind, tx_id=1, **given):
@@ -67,6 +67,21 @@ def test_data_source(spark, tmp_path):
     assert sorted(map(str, back.collect())) == sorted(map(str, log.collect())) == sorted(map(str, decode_records(encode_records(log)).collect()))
     assert spark.read.format("tidemark_wal").option("min_lsn", 6).load(str(tmp_path / "log")).count() == 4
     assert len(WAL_TYPES) == 8
+    # What is appended follows what is there; damage at the end of a file from elsewhere is left behind.
+    write_log(log.where("core_id = 3 AND lsn <= 2"), str(tmp_path / "log"))
+    write_log(log.where("core_id = 5 AND lsn < 0"), str(tmp_path / "log"))
+    read = lambda: spark.read.format("tidemark_wal").load(str(tmp_path / "log"))
+    assert sorted((r.core_id, r.lsn, r.type) for r in read().collect() if r.lsn > 8) == [(3, 9, "TX_BEGIN"), (3, 10, "INTENT")] and read().count() == 18
+    tail = read().where("lsn > 7 AND core_id = 3 AND type <> 'TX_BEGIN'")
+    assert sorted(r.lsn for r in tail.collect()) == [8, 10] and "> 7" not in tail._jdf.queryExecution().executedPlan().toString().split("Filter ")[1].split("\n")[0]
+    write_log(log.where("core_id = 0"), str(tmp_path / "log"), "overwrite")
+    assert read().count() == 8 and len(list((tmp_path / "log").glob("*.seg"))) == 1
+    own = tmp_path / "own"
+    own.mkdir()
+    (own / "core_0.wal").write_bytes(b"".join(map(encode, EACH[:4]))[:-8])
+    assert [tuple(r)[2:] for r in log_state(spark, str(own)).select("core_id", "segment", "records", "last_lsn", "damaged").collect()] == [(3, 3, True)]
+    write_log(log.where("core_id = 0 AND lsn = 1"), str(own))
+    assert sorted(r.lsn for r in spark.read.format("tidemark_wal").load(str(own)).collect()) == [1, 2, 3, 4]
 
 
 def test_snapshot_and_topology_files(tmp_path):

@@ -1,4 +1,10 @@
-"""The log in its binary form: codec, columns, and a data source for log files.
+"""The log in its binary form: codec, columns, and a data source for logs.
+
+A log is a folder of segments, each of one core's records in the order of their
+LSNs, and a manifest that names them.  An append adds segments and then puts a
+new manifest in the old one's place, so readers see all of it or nothing.  A
+folder without a manifest holds one file ``core_<i>.wal`` for each core.
+Folders are reached through Arrow's file systems (local, HDFS, S3, GCS).
 
 A record is a 32-byte little-endian header (magic, size, LSN, type, 3 bytes of
 padding, transaction id, masked CRC-32C of the whole record with this field
@@ -135,97 +141,193 @@ def decode_records(raw: DataFrame) -> DataFrame:
     return raw.mapInArrow(_decode_rows, _DECODED)
 
 
+MANIFEST = "log.json"
+_STATE = "core_id int, segment string, records bigint, good_bytes bigint, last_lsn bigint, damaged boolean"
+
+
+def _file_system(folder: str):
+    import os
+
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(folder if "://" in folder else os.path.abspath(folder.removeprefix("file:")))
+
+
+def stream_records(source, tell: dict | None = None) -> Iterator[dict]:
+    """Records up to the first bad one of an open file, one in memory at a time; ``tell`` learns how many, how many bytes they have and whether something bad follows."""
+    tell = {} if tell is None else tell
+    tell |= {"records": 0, "good_bytes": 0, "last_lsn": 0, "damaged": False}
+    while head := source.read(HEADER.size):
+        size = int.from_bytes(head[4:8], "little")
+        plausible = len(head) == HEADER.size and int.from_bytes(head[:4], "little") == MAGIC and size >= HEADER.size
+        record = decode(head + source.read(size - HEADER.size)) if plausible else None
+        if record is None:
+            tell["damaged"] = True
+            return
+        tell["records"] += 1
+        tell["good_bytes"] += size
+        tell["last_lsn"] = max(tell["last_lsn"], record["lsn"])
+        yield record
+
+
+def _segments(folder: str) -> list[dict]:
+    """core, name, good bytes (none: to the end) and last LSN (none: unknown) of each segment, in the order in which they were added."""
+    import json
+
+    from pyarrow import fs
+
+    system, root = _file_system(folder)
+    if system.get_file_info(f"{root}/{MANIFEST}").type == fs.FileType.File:
+        with system.open_input_stream(f"{root}/{MANIFEST}") as f:
+            return json.loads(f.read())["segments"]
+    found = system.get_file_info(fs.FileSelector(root, allow_not_found=True))
+    names = sorted(f.base_name for f in found if f.base_name.startswith("core_") and f.base_name.endswith(".wal"))
+    return [{"core": int(n[5:-4]), "name": n, "bytes": None, "last": None} for n in names]
+
+
 class _Partition(InputPartition):
-    def __init__(self, path: str, core: int):
-        super().__init__(core)
-        self.path, self.core = path, core
+    def __init__(self, segment: dict):
+        super().__init__(segment["name"])
+        self.segment = segment
 
 
 class WalSource(DataSource):
-    """``format("tidemark_wal")``: files ``core_<i>.wal`` of a folder; a file is a partition. Option ``min_lsn``: records with larger LSNs only."""
+    """``format("tidemark_wal")``: the records of a folder, a segment to a partition.
+
+    Options: ``min_lsn`` (records with larger LSNs only), ``state`` (``true``:
+    a row for each segment with its good records and bytes and whether its tail
+    is damaged).  Filters on ``lsn`` and ``core_id`` reach the reader.  Written
+    rows follow what the log holds: they are numbered on from each core's last
+    LSN; mode ``overwrite`` starts a new log.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "tidemark_wal"
 
     def schema(self) -> str:
-        return _DECODED
+        return _STATE if self.options.get("state", "").lower() == "true" else _DECODED
 
     def reader(self, schema) -> DataSourceReader:
         return _WalReader(self.options)
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        return _WalWriter(self.options)
+        return _WalWriter(self.options, overwrite)
 
 
 class _WalReader(DataSourceReader):
     def __init__(self, options):
         self._folder, self._after = options["path"], int(options.get("min_lsn", 0))
+        self._state, self._core = options.get("state", "").lower() == "true", None
+
+    def pushFilters(self, filters):
+        for f in filters:
+            name = getattr(f, "attribute", None)
+            if not self._state and name == ("lsn",) and type(f).__name__ in ("GreaterThan", "GreaterThanOrEqual"):
+                self._after = max(self._after, f.value - (type(f).__name__ == "GreaterThanOrEqual"))
+            elif name == ("core_id",) and type(f).__name__ == "EqualTo":
+                self._core = f.value
+            else:
+                yield f
 
     def partitions(self):
-        import glob
-        import os
-
-        return [_Partition(p, int(os.path.basename(p)[5:-4])) for p in sorted(glob.glob(f"{self._folder}/core_*.wal"))]
+        wanted = [x for x in _segments(self._folder) if self._core in (None, x["core"]) and (x["last"] is None or x["last"] > self._after)]
+        return [_Partition(x) for x in wanted] or [_Partition({"core": -1, "name": "", "bytes": 0, "last": 0})]
 
     def read(self, partition: _Partition):
-        with open(partition.path, "rb") as f:
-            records, _, _ = read_all(f.read(), self._after)
-        for r in records:
-            yield tuple((r | {"core_id": partition.core}).get(n) for n, _ in _TYPES)
+        segment, tell = partition.segment, {}
+        if not segment["name"]:
+            return
+        system, root = _file_system(self._folder)
+        with system.open_input_stream(f"{root}/{segment['name']}", buffer_size=1 << 20) as f:
+            for r in stream_records(f, tell):
+                if not self._state and r["lsn"] > self._after:
+                    yield tuple((r | {"core_id": segment["core"]}).get(n) for n, _ in _TYPES)
+        if self._state:
+            yield segment["core"], segment["name"], tell["records"], tell["good_bytes"], tell["last_lsn"], tell["damaged"]
 
 
 class _Written(WriterCommitMessage):
-    def __init__(self, files: list[tuple[str, str]]):
-        self.files = files
+    def __init__(self, segments: list[dict]):
+        self.segments = segments
 
 
 class _WalWriter(DataSourceWriter):
-    """Each core's rows must be in one partition, in the order of their LSNs; files appear when all tasks have succeeded."""
-
-    def __init__(self, options):
-        self._folder = options["path"]
+    """A segment for each core of a task; a core's rows must be in one partition, in their order."""
+
+    def __init__(self, options, overwrite: bool):
+        self._folder, self._overwrite = options["path"], overwrite
+        self._old = [] if overwrite else _segments(self._folder)
+        system, root = _file_system(self._folder)
+        for x in self._old:
+            if x["last"] is None:  # a file from elsewhere is read once for its last LSN
+                tell: dict = {}
+                with system.open_input_stream(f"{root}/{x['name']}", buffer_size=1 << 20) as f:
+                    for _ in stream_records(f, tell):
+                        pass
+                x |= {"bytes": tell["good_bytes"], "last": tell["last_lsn"]}
+        self._last: dict[int, int] = {}
+        for x in self._old:
+            self._last[x["core"]] = max(self._last.get(x["core"], 0), x["last"])
 
     def write(self, rows) -> _Written:
-        import os
         import uuid
 
-        files: dict[int, tuple[str, str]] = {}
+        system, root = _file_system(self._folder)
+        system.create_dir(root, recursive=True)
+        done, out, core = [], None, None
         for row in rows:
             r = row.asDict()
-            core = r["core_id"]
-            if core not in files:
-                os.makedirs(self._folder, exist_ok=True)
-                files[core] = (f"{self._folder}/.{uuid.uuid4().hex}.tmp", f"{self._folder}/core_{core}.wal")
-            with open(files[core][0], "ab") as f:
-                f.write(encode(r))
-        return _Written(list(files.values()))
+            if r["core_id"] != core:
+                if out:
+                    out.close()
+                core = r["core_id"]
+                done.append({"core": core, "name": f"core_{core}-{uuid.uuid4().hex}.seg", "bytes": 0, "last": self._last.get(core, 0)})
+                out = system.open_output_stream(f"{root}/{done[-1]['name']}")
+            done[-1]["last"] += 1
+            done[-1]["bytes"] += out.write(raw := encode(r | {"lsn": done[-1]["last"]})) or len(raw)
+        if out:
+            out.close()
+        return _Written(done)
 
     def commit(self, messages) -> None:
-        import os
+        import json
+        import uuid
 
-        finals = [final for m in messages if m for _, final in m.files]
-        if len(finals) != len(set(finals)):
+        new = [x for m in messages if m for x in m.segments]
+        cores = [x["core"] for x in new]
+        if len(cores) != len(set(cores)):
             self.abort(messages)
             raise ValueError("a core's records came from several partitions")
-        for m in messages:
-            for made, final in m.files if m else ():
-                os.replace(made, final)
+        system, root = _file_system(self._folder)
+        system.create_dir(root, recursive=True)
+        before = _segments(self._folder) if self._overwrite else []
+        made = f"{root}/{uuid.uuid4().hex}.manifest"
+        with system.open_output_stream(made) as f:
+            f.write(json.dumps({"segments": [*self._old, *sorted(new, key=lambda x: x["core"])]}).encode())
+        system.move(made, f"{root}/{MANIFEST}")
+        for x in before:  # nothing names them any more
+            system.delete_file(f"{root}/{x['name']}")
 
     def abort(self, messages) -> None:
-        import os
-
+        system, root = _file_system(self._folder)
         for m in messages:
-            for made, _ in m.files if m else ():
-                if os.path.exists(made):
-                    os.remove(made)
+            for x in m.segments if m else ():
+                system.delete_file(f"{root}/{x['name']}")
 
 
 def register(spark: SparkSession) -> None:
+    """Make the source known to the session, which must let filters reach readers in Python."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WalSource)
 
 
-def write_log(log: DataFrame, folder: str) -> None:
-    """A log table as files, one for each core."""
+def write_log(log: DataFrame, folder: str, mode: str = "append") -> None:
+    """Append a log table to a folder, or start it anew (``overwrite``)."""
     rows = log.select(*(F.col(n) if n in log.columns else F.lit(None).cast("bigint").alias(n) for n, _ in _TYPES))
-    rows.repartition("core_id").sortWithinPartitions("core_id", "lsn").write.format("tidemark_wal").mode("append").save(folder)
+    rows.repartition("core_id").sortWithinPartitions("core_id", "lsn").write.format("tidemark_wal").mode(mode).save(folder)
+
+
+def log_state(spark: SparkSession, folder: str) -> DataFrame:
+    """A row for each segment: core_id, segment, records, good_bytes, last_lsn, damaged (whether something bad follows the good part)."""
+    return spark.read.format("tidemark_wal").option("state", "true").load(folder)
