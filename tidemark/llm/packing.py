@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import whole_text
+from tidemark.llm._common import tidied, whole_text
 from tidemark.llm.tokens import encoder
 
 #: Window lengths; all are powers of two, so a full window has no padding.
@@ -115,6 +115,7 @@ def _pack(path: str, keeps_space: bool, end_id: int):
     names = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "window", "step_id", "ids"]
     end = end_id.to_bytes(4, "little")
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, encode = Packer(TaskContext.get().partitionId()), encoder(path, keeps_space).encode_batch
 
@@ -143,8 +144,8 @@ def pack(docs: DataFrame, tokenizer_path: str, keeps_space: bool = False, end_id
     together) and ``ids`` (little-endian uint32).  A partition's last windows
     may be shorter powers of two.
 
-    A null or empty text is the end id alone; equal rows are packed each for
-    itself; other columns are ignored; no rows give no pieces.
+    A null or empty text is the end id alone; a long one is cut into full
+    windows as it comes; equal rows are packed each for itself; other columns are ignored; no rows give no pieces.
     """
     read = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole_text().alias("text"))
     return read.mapInArrow(_pack(tokenizer_path, keeps_space, end_id), PIECE_SCHEMA)

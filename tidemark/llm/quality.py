@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import bucket, split_words, texts_of, training_rows, whole_text
+from tidemark.llm._common import bucket, split_words, texts_of, tidied, tidy, training_rows, whole_text
 
 #: Buckets of the embedding table, and the lengths of character n-grams.
 MASK, GRAMS = (1 << 15) - 1, (1, 2, 3)
@@ -41,6 +41,7 @@ def word_buckets(word: str) -> list[int]:
     return [bucket(marked, MASK), *(bucket(marked[i : i + n], MASK) for n in GRAMS for i in range(len(marked) - n + 1))]
 
 
+@tidied
 def _buckets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, counts = [], []
@@ -94,12 +95,16 @@ def fit_quality(docs: DataFrame, labels: DataFrame, train: Column, per_class: in
     """Learn ``labels.quality`` from at most ``per_class`` rows of either class for which ``train`` holds; without rows every score is 0.5."""
     rows = training_rows(docs, labels, "quality", train, per_class, seed).select("label", "text").mapInArrow(_buckets_of, "label int, ids binary, counts binary").collect()
     rows.sort(key=lambda r: (r["label"], bytes(r["ids"]), bytes(r["counts"])))
-    return SubwordClassifier.fit([(np.frombuffer(r["ids"], "<i4"), np.frombuffer(r["counts"], "<i4")) for r in rows], np.array([r["label"] for r in rows], "i8"))
+    model = SubwordClassifier.fit([(np.frombuffer(r["ids"], "<i4"), np.frombuffer(r["counts"], "<i4")) for r in rows], np.array([r["label"] for r in rows], "i8"))
+    del rows
+    tidy()
+    return model
 
 
 def _scorer(model: SubwordClassifier):
     slopes, bias = model.slopes(), float(model.bias[1] - model.bias[0])
 
+    @tidied
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, complex] = {}  # the sum of a word's slopes, and how many there are
 
@@ -121,6 +126,10 @@ def _scorer(model: SubwordClassifier):
 
 
 def score_quality(docs: DataFrame, model: SubwordClassifier) -> DataFrame:
-    """``doc_id`` and ``score`` (0 to 1) for each row; a null or empty text has only the bias. Other columns are ignored, equal rows kept."""
+    """``doc_id`` and ``score`` (0 to 1) for each row; a null or empty text has only the bias.
+
+    Texts are scored whole, however long.  Equal rows are kept, equal texts
+    score alike; other columns are ignored, and no rows give none.
+    """
     read = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole_text().alias("text"))
     return read.mapInArrow(_scorer(model), "doc_id bigint, score double")

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import materialize, texts_of, whole_text
+from tidemark.llm._common import materialize, texts_of, tidied, whole_text
 
 #: Kinds in the order in which spans at one place are listed (fixed values).
 KINDS = ("assign", "access", "hex", "owned")
@@ -51,6 +51,7 @@ def find_candidates(text: str) -> list[tuple[int, int, int, bytes]]:
     return [(k, s, e, hashlib.blake2b(v.encode(), digest_size=16).digest()) for k, s, e, v in found]
 
 
+@tidied
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     uid = TaskContext.get().partitionId() << 40
     item = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.binary())])

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import whole_text
+from tidemark.llm._common import tidied, whole_text
 from tidemark.llm.mixing_coder import BLOCK, decode_blocks, encode_blocks
 from tidemark.llm.tokens import encoder
 
@@ -56,6 +56,7 @@ class _Cutter:
 
 
 def _writer(path: str, keeps_space: bool, end_id: int, lanes: int):
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         file, numbers, cutter, encode = TaskContext.get().partitionId(), itertools.count(), _Cutter(), encoder(path, keeps_space).encode_batch
         end = np.array([end_id], np.uint32)
@@ -90,6 +91,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, keeps_space: b
 
 
 def _reader(lanes: int):
+    @tidied
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come by file and block; a document's parts lie in blocks that follow each other."""
         names, types = ["doc_id", "file", "begin", "ids"], [pa.int64(), pa.int64(), pa.int64(), pa.binary()]

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import bucket, texts_of, tidied, training_rows
+from tidemark.llm._common import bucket, texts_of, tidied, tidy, training_rows
 
 _WORD = re.compile(r"[^\W\d_]+")
 #: Hash space of the terms, the lengths of character n-grams, and those of word beginnings.
@@ -98,7 +98,8 @@ class FactorizationMachine:
         at = np.full(MASK + 1, -1, "i4")
         at[terms] = np.arange(len(terms))
         chosen = [x[x >= 0] for x in (at[d] for d in docs)]
-        rows, cols = np.repeat(np.arange(len(docs)), [len(x) for x in chosen]), np.concatenate(chosen)
+        rows, cols = np.repeat(np.arange(len(docs), dtype="i4"), [len(x) for x in chosen]), np.concatenate(chosen)
+        del chosen, counts, in_neg, in_pos, seen, chi, at
         rng = np.random.default_rng(seed)
         w, v, b = np.zeros(len(terms)), rng.normal(0, scale, (len(terms), rank)), 0.0
         gw, gv, gb = np.full_like(w, 1e-8), np.full_like(v, 1e-8), 1e-8
@@ -123,8 +124,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column, per_class: i
     """Learn ``labels.toxic`` from at most ``per_class`` rows of either class for which ``train`` holds; without rows of both classes the score is the prior."""
     rows = training_rows(docs, labels, "toxic", train, per_class, seed).select("label", "text").mapInArrow(_terms_of, "label int, terms binary").collect()
     rows.sort(key=lambda r: (r["label"], bytes(r["terms"])))
-    y = np.array([r["label"] for r in rows], "i8")
-    return FactorizationMachine.fit([np.frombuffer(r["terms"], "<i4") for r in rows], y, prior=0.3)
+    y, terms = np.array([r["label"] for r in rows], "i8"), [np.frombuffer(r["terms"], "<i4") for r in rows]
+    del rows
+    model = FactorizationMachine.fit(terms, y, prior=0.3)
+    del terms
+    tidy()
+    return model
 
 
 def _text_scorer(model: FactorizationMachine):
