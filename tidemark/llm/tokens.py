@@ -19,7 +19,7 @@ _BLANK = chr(288)
 _SPACED = re.compile(f" ?[^{UNICODE_SPACE}]+|[{UNICODE_SPACE}]+(?![^{UNICODE_SPACE}])|[{UNICODE_SPACE}]+")
 
 #: How both vocabularies cut a piece of printable ASCII and Latin letters (fixed values); the second lower-cases it and takes digits one by one.
-_LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
+_LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
 _PLAIN = re.compile(f" ?[!-~{_LATIN}]+")
 _PLAIN_CUTS = {
     True: re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LATIN}]+| ?[0-9]+| ?[^\s0-9{_LATIN}]+"),
