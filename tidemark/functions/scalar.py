@@ -33,9 +33,10 @@ def backoff_low(streak: Column, priority: Column) -> Column:
 
 
 def backoff_jitter(streak: Column, priority: Column, *seed: Column) -> Column:
-    """A wait between the bounds, inclusive, from a hash of ``seed``."""
+    """A wait between the bounds, inclusive, from the md5 of ``seed`` (DuckDB can compute it, too)."""
     low, high = backoff_low(streak, priority), backoff_high(streak, priority)
-    return low + F.pmod(F.xxhash64(*seed), high - low + 1)
+    drawn = F.conv(F.substring(F.md5(F.concat_ws(":", *(x.cast("string") for x in seed)).cast("binary")), 1, 8), 16, 10).cast("bigint")
+    return low + F.pmod(drawn, high - low + 1)
 
 
 def nearest_rank(value: str, share: float) -> Column:

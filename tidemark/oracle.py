@@ -1,4 +1,4 @@
-"""DuckDB SQL for the registered queries; those with a hash or a codec of their own have none."""
+"""DuckDB SQL for the registered queries."""
 
 from __future__ import annotations
 
@@ -81,10 +81,23 @@ _GC = f"""WITH {_VERSIONS}, marked AS (SELECT *, chain_pos < max(chain_pos) OVER
 counted AS (SELECT *, sum((NOT one)::INT) OVER (PARTITION BY key) AS kept FROM marked),
 gone AS (SELECT *, one OR (kept = 1 AND is_deleted AND commit_ts < (SELECT 3 * count(*) // 3 FROM events)) AS removed FROM counted) """
 
+_TASKS = f"""WITH tasks AS (
+  SELECT event_id AS request_id, ['GET', 'SET', 'BEGIN', 'TX_GET', 'TX_SET', 'COMMIT', 'ROLLBACK', 'HEARTBEAT', 'PREPARE', 'GC', 'OTHER'][event_id % 11 + 1] AS op, 'user:' || user_id AS key, event_id % 6 AS core FROM events),
+sent AS (SELECT *, CASE WHEN op IN ('BEGIN', 'COMMIT', 'ROLLBACK', 'HEARTBEAT') THEN 0 WHEN op IN ('PREPARE', 'GC') THEN core WHEN op <> 'OTHER' THEN {_OWNER.format(cores=4)} END AS target FROM tasks),
+routed AS (SELECT * FROM sent WHERE target BETWEEN 0 AND 3) """
+
+_TOLD = ", told AS (SELECT DISTINCT t.*, v.owner AS core FROM timed t JOIN votes v USING (tx_id)) "
+
+#: The reflected polynomial's table, and the checksum of a value's bytes.
+_CRC = """WITH eight AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 2197175160) ELSE x >> 1 END)) AS t),
+raw AS (SELECT event_id AS chain_pos, hex(encode(props)) AS h FROM events),
+bytes AS (SELECT chain_pos, list_transform(range(0, length(h), 2), lambda i: ('0x' || substr(h, (i + 1)::BIGINT, 2))::BIGINT) AS b FROM raw),
+summed AS (SELECT chain_pos, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda a, x: xor(a >> 8, t[xor(a & 255, x) + 1])), 4294967295::BIGINT) AS crc FROM bytes, eight) """
+
 ORACLE_SQL: dict[str, str] = {
     "kv_current": f"WITH {_LOG} SELECT key, value_hex FROM (SELECT key, arg_max(value_hex, seq) AS value_hex, arg_max(is_deleted, seq) AS gone FROM kv GROUP BY key) WHERE NOT gone",
     "kv_get": f"""WITH {_LOG}, live AS (SELECT key, value_hex FROM (SELECT key, arg_max(value_hex, seq) AS value_hex, arg_max(is_deleted, seq) AS gone FROM kv GROUP BY key) WHERE NOT gone)
-SELECT k.key, l.key IS NOT NULL AS found, l.value_hex FROM (SELECT 'cust:' || c_custkey AS key FROM customer WHERE c_custkey % 7 = 0) k LEFT JOIN live l ON l.key = k.key""",
+SELECT k.key, l.key IS NOT NULL AS found, l.value_hex FROM (SELECT 'cust:' || c_custkey AS key FROM customer) k LEFT JOIN live l ON l.key = k.key""",
     "kv_get_prior": f"""WITH {_LOG}, prior AS (SELECT seq, key, lag(value_hex) OVER w AS value_hex, lag(is_deleted) OVER w AS gone FROM kv WINDOW w AS (PARTITION BY key ORDER BY seq))
 SELECT seq, key, gone IS NOT NULL AND NOT gone AS found, CASE WHEN NOT gone THEN value_hex END AS value_hex FROM prior""",
     "kv_delete": f"WITH {_LOG} SELECT key, value_hex FROM (SELECT key, arg_max(value_hex, seq) AS value_hex, arg_max(is_deleted, seq) AS gone FROM kv GROUP BY key) WHERE NOT gone AND substr(key, 6)::BIGINT % 2 = 0",
@@ -132,4 +145,22 @@ SELECT metric, count(*) AS n, count(*) / 20.0::DOUBLE AS qps, percentile_disc(0.
     "bench_outcome_mix": f"""{_run()}, lost AS (SELECT tx_id, count(*) AS n FROM folded WHERE NOT ok GROUP BY ALL),
 mix AS (SELECT count(*) AS attempts, count(*) FILTER (state = 'COMMITTED') AS committed, count(*) FILTER (state <> 'COMMITTED' AND coalesce(n, 0) > 0) AS conflict_abort, count(*) FILTER (state <> 'COMMITTED' AND coalesce(n, 0) = 0) AS other_abort, coalesce(sum(n), 0)::BIGINT AS retries FROM tx LEFT JOIN lost USING (tx_id))
 SELECT *, (committed * 100.0::DOUBLE) / attempts AS committed_pct, (conflict_abort * 100.0::DOUBLE) / attempts AS conflict_pct, (other_abort * 100.0::DOUBLE) / attempts AS other_pct, retries::DOUBLE / attempts AS retries_per_tx FROM mix""",
+    "backoff_waits": f"{_run()}{_STREAKS} SELECT seq, ({_HIGH} // 2 + ('0x' || substr(md5(tx_id || ':' || seq), 1, 8))::BIGINT % ({_HIGH} - {_HIGH} // 2 + 1))::BIGINT AS wait_ms FROM streaks WHERE NOT ok",
+    "crc32c_check": f"{_CRC} SELECT chain_pos, crc, ((((crc >> 15) | (crc << 17)) & 4294967295) + 2726488792) & 4294967295 AS masked, TRUE AS same FROM summed",
+    "wal_binary_roundtrip": f"{_run()}{_WAL} SELECT core_id::BIGINT AS core_id, type, count(*) AS n, max(lsn) AS max_lsn, sum(length(value_hex) // 2)::BIGINT AS n_bytes FROM cut GROUP BY ALL",
+    "mvcc_restore": f"{_LATEST} SELECT key, commit_ts, value_hex, is_deleted FROM latest",
+    "kv_clear": "SELECT 0::BIGINT AS n_keys",
+    "tx_acknowledged": f"{_run()}{_TOLD} SELECT t.tx_id, coalesce(n, 0) AS n_acks, coalesce(n, 0) >= n_participants AS answered FROM timed t LEFT JOIN (SELECT tx_id, count(*) AS n FROM told WHERE core <> 3 GROUP BY ALL) a ON a.tx_id = t.tx_id",
+    "tx_expired": f"""{_run()} SELECT tx_id, 'ABORTED' AS state, CASE WHEN tx_id % 3 = 0 THEN 'prepare_timeout' END AS error FROM timed
+WHERE (tx_id % 3 <> 0 AND 100 * {_MIDDLE} - 100 * first_seq > 30000) OR (tx_id % 3 = 0 AND 100 * {_MIDDLE} - 100 * last_seq > 10000)""",
+    "finalize_resent": f"{_run()}{_TOLD} SELECT tx_id, core, 100 * {_MIDDLE} AS sent_ms FROM told WHERE 100 * {_MIDDLE} - 100 * last_seq > 10000",
+    "routed_tasks": f"""{_TASKS} SELECT request_id, CASE WHEN op IN ('PREPARE', 'GC') THEN 'unknown' WHEN op LIKE 'TX%' THEN 'tx ' || lower(substr(op, 4)) ELSE lower(op) END AS label,
+  op IN ('BEGIN', 'COMMIT', 'ROLLBACK', 'HEARTBEAT') AS control, op IN ('TX_GET', 'TX_SET') AS execute, target FROM routed""",
+    "matched_responses": f"{_TASKS} SELECT t.request_id, t.op, r.key AS value FROM tasks t LEFT JOIN (SELECT 2 * request_id AS request_id, key FROM routed WHERE target = 1) r ON r.request_id = t.request_id",
+    "value_bytes": "SELECT event_id, hex(encode(props)) AS value_hex, octet_length(encode(props)) AS n_bytes FROM events",
+    "merged_counters": "SELECT count(*) AS ops, sum(floor(value * 1000)::BIGINT)::BIGINT AS us, count(*) FILTER (event_type = 'error') AS errors FROM events",
+    "measured_samples": "SELECT event_type AS metric, count(*) AS n FROM events WHERE event_id >= (SELECT count(*) // 10 FROM events) GROUP BY ALL",
+    "repartition_headers": f"""{_LATEST} SELECT c.core_id::BIGINT AS core_id, 6::BIGINT AS num_cores, 2::BIGINT AS layout_epoch, 0::BIGINT AS wal_lsn, coalesce(n, 0) AS entry_count
+FROM range(6) c(core_id) LEFT JOIN (SELECT {_OWNER.format(cores=6)} AS core_id, count(*) AS n FROM latest WHERE NOT is_deleted GROUP BY ALL) e ON e.core_id = c.core_id""",
+    "largest_applied": f"{_run()}{_WAL} SELECT core_id::BIGINT AS core_id, coalesce(max(lsn) FILTER (type IN ('INTENT', 'COMMIT_FINALIZE', 'ABORT_FINALIZE')), 0) AS max_lsn FROM cut GROUP BY ALL",
 }

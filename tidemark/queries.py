@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.checksum import crc32c_column
-from tidemark.functions.scalar import backoff_high, backoff_jitter, backoff_low, crc_mask, crc_unmask, owner
-from tidemark.operators import gc, intents, kv, mvcc, recovery, report, transactions
+from tidemark.functions.scalar import backoff_high, backoff_jitter, backoff_low, crc_mask, crc_unmask, from_value, owner, to_value
+from tidemark.operators import gc, intents, kv, mvcc, recovery, report, router, transactions
 from tidemark.plans import histories
 from tidemark.plans.histories import CORES
 
@@ -34,8 +34,8 @@ def kv_current(spark, sf_dir):
 
 
 def kv_get(spark, sf_dir):
-    """Every seventh customer's key, and some that nobody wrote."""
-    keys = histories.table(spark, sf_dir, "customer").where("c_custkey % 7 = 0").select(F.concat(F.lit("cust:"), F.col("c_custkey").cast("string")).alias("key"))
+    """Every customer's key; nobody wrote some of them."""
+    keys = histories.table(spark, sf_dir, "customer").select(F.concat(F.lit("cust:"), F.col("c_custkey").cast("string")).alias("key"))
     return kv.get(histories.kv_log(spark, sf_dir), keys).select("key", "found", _text("value"))
 
 
@@ -109,7 +109,7 @@ def backoff_bounds(spark, sf_dir):
 
 
 def backoff_waits(spark, sf_dir):
-    """Waits with jitter from a hash, which only Spark computes: rows only."""
+    """Waits with jitter from a hash of transaction and step."""
     lost = intents.streaks(_folded(_ops(spark, sf_dir))).where("not ok")
     return lost.select("seq", backoff_jitter(F.col("streak"), F.col("priority"), F.col("tx_id"), F.col("seq")).alias("wait_ms"))
 
@@ -269,18 +269,107 @@ def bench_outcome_mix(spark, sf_dir):
 
 
 def crc32c_check(spark, sf_dir):
-    """Checksums of the values, masked and unmasked; DuckDB has no such function: rows only."""
+    """Checksums of the values, masked and unmasked."""
     rows = histories.serial_versions(spark, sf_dir).select("chain_pos", crc32c_column("value").alias("crc"))
     return rows.select("chain_pos", "crc", crc_mask(F.col("crc")).alias("masked"), (crc_unmask(crc_mask(F.col("crc"))) == F.col("crc")).alias("same"))
 
 
 def wal_binary_roundtrip(spark, sf_dir):
-    """The log in its binary form and back, counted by type and core; rows only."""
+    """The log in its binary form and back, counted by type and core."""
     from tidemark.sources.wal import decode_records, encode_records
 
     log = _log(spark, sf_dir)
     back = decode_records(encode_records(log))
-    return back.groupBy("core_id", "type").agg(F.count("*").alias("n"), F.max("lsn").alias("max_lsn"), F.sum(F.length("value").cast("bigint")).alias("n_bytes"))
+    return back.groupBy(F.col("core_id").cast("bigint").alias("core_id"), "type").agg(F.count("*").alias("n"), F.max("lsn").alias("max_lsn"), F.sum(F.length("value").cast("bigint")).alias("n_bytes"))
+
+
+# Paths that the histories above don't reach
+
+
+def mvcc_restore(spark, sf_dir):
+    """The full scan of a store that starts from a snapshot in the middle and takes the versions after it."""
+    versions = histories.serial_versions(spark, sf_dir).withColumn("is_intent", F.lit(False))
+    middle = _ticks(spark, sf_dir, SNAPSHOT_SHARE)
+    entries = mvcc.snapshot_read(versions, middle)
+    return mvcc.latest_committed(mvcc.restore(versions.where(F.col("commit_ts") > middle), entries)).select("key", "commit_ts", _text("value"), "is_deleted")
+
+
+def kv_clear(spark, sf_dir):
+    return kv.size(kv.clear(histories.kv_log(spark, sf_dir)))
+
+
+def tx_acknowledged(spark, sf_dir):
+    """Transactions after acknowledgements from all cores but core 3, each sent twice."""
+    tx = _run(spark, sf_dir)[2]
+    acks = router.fan_out(tx).where("core <> 3").select("tx_id", "core")
+    return transactions.acknowledged(tx, acks.unionByName(acks)).select("tx_id", F.coalesce("n_acks", F.lit(0)).alias("n_acks"), "answered")
+
+
+def _stuck(spark, sf_dir):
+    """Transactions with times in ms from their steps; every third one is preparing."""
+    tx = _run(spark, sf_dir)[2]
+    preparing = F.col("tx_id") % 3 == 0
+    return tx.select("tx_id", F.when(preparing, "PREPARING").otherwise("ACTIVE").alias("state"), (100 * F.col("first_seq")).alias("last_heartbeat_ms"), F.when(preparing, 100 * F.col("end_seq")).alias("prepare_start_ms"))
+
+
+def tx_expired(spark, sf_dir):
+    """What the reaper ends in the middle of the run."""
+    return transactions.expired(_stuck(spark, sf_dir), F.lit(100 * _middle(spark, sf_dir))).select("tx_id", "state", "error")
+
+
+def finalize_resent(spark, sf_dir):
+    """Finalize messages without an answer that are sent again in the middle of the run."""
+    pending = router.fan_out(_run(spark, sf_dir)[2]).select("tx_id", "core", (100 * F.col("end_seq")).alias("sent_ms"))
+    return transactions.resend_finalize(pending, F.lit(100 * _middle(spark, sf_dir)).cast("bigint")).select("tx_id", F.col("core").cast("bigint").alias("core"), "sent_ms")
+
+
+def _tasks(spark, sf_dir):
+    """Tasks of every kind, of an unknown one, and local ones for cores that aren't there."""
+    kinds = F.array(*(F.lit(x) for x in ("GET", "SET", "BEGIN", "TX_GET", "TX_SET", "COMMIT", "ROLLBACK", "HEARTBEAT", "PREPARE", "GC", "OTHER")))
+    e = F.col("event_id")
+    return histories.table(spark, sf_dir, "events").select(e.alias("request_id"), F.get(kinds, (e % 11).cast("int")).alias("op"), F.concat(F.lit("user:"), F.col("user_id").cast("string")).alias("key"), (e % 6).cast("int").alias("core"))
+
+
+def routed_tasks(spark, sf_dir):
+    routed = router.route(_tasks(spark, sf_dir), CORES)
+    return routed.select("request_id", router.op_label(F.col("op")).alias("label"), router.is_control(F.col("op")).alias("control"), router.is_execute(F.col("op")).alias("execute"), F.col("target").cast("bigint").alias("target"))
+
+
+def matched_responses(spark, sf_dir):
+    """Tasks with the answers of core 1; some answers belong to no task."""
+    tasks = _tasks(spark, sf_dir)
+    answers = router.route(tasks, CORES).where("target = 1").select((F.col("request_id") * 2).alias("request_id"), F.col("key").alias("value"))
+    return router.match_responses(tasks.select("request_id", "op"), answers)
+
+
+def value_bytes(spark, sf_dir):
+    """Texts as opaque bytes and back."""
+    rows = histories.table(spark, sf_dir, "events").select("event_id", to_value(F.col("props")).alias("value"))
+    return rows.select("event_id", from_value(F.col("value")).alias("value_hex"), F.length("value").cast("bigint").alias("n_bytes"))
+
+
+def merged_counters(spark, sf_dir):
+    """Counters of eight threads, summed."""
+    each = histories.latencies(spark, sf_dir).groupBy("thread").agg(F.count("*").alias("ops"), F.sum("us").alias("us"), F.count_if(F.col("metric") == "error").alias("errors"))
+    return report.merge_counters(each)
+
+
+def measured_samples(spark, sf_dir):
+    """Samples after the warm-up, a tenth of the run."""
+    n = histories.table(spark, sf_dir, "events").count()
+    samples = histories.table(spark, sf_dir, "events").select(F.col("event_id").alias("at_us"), F.col("event_type").alias("metric"))
+    return report.measured(samples, n // 10).groupBy("metric").agg(F.count("*").alias("n"))
+
+
+def repartition_headers(spark, sf_dir):
+    """Headers of the snapshots after a move from 4 to 6 cores: a new epoch, no log before them."""
+    moved = recovery.repartition_layout(mvcc.latest_committed(histories.serial_versions(spark, sf_dir)), CORES, 6)
+    headers = recovery.checkpoint_headers(moved.select("core_id", "key"), 6, 2)
+    return headers.select(*(F.col(c).cast("bigint").alias(c) for c in ("core_id", "num_cores", "layout_epoch", "wal_lsn", "entry_count")))
+
+
+def largest_applied(spark, sf_dir):
+    return recovery.largest_applied(_log(spark, sf_dir)).select(F.col("core_id").cast("bigint").alias("core_id"), "max_lsn")
 
 
 _NAMES = (
@@ -288,7 +377,9 @@ _NAMES = (
     "conflict_streak backoff_bounds backoff_waits participants prepare_votes tx_outcomes ts_allocation tx_commit_versions tx_abort_cleanup "
     "mvcc_own_intent_overlay mvcc_read_set gc_survivors gc_removed_counts gc_watermark tx_states lease_expired terminal_purge "
     "group_commit_batches wal_tail wal_next_lsn wal_replay_core recover_coordinator recovery_counters resolve_in_doubt checkpoint_entries "
-    "checkpoint_header repartition_layout router_distribution latency_report bench_outcome_mix crc32c_check wal_binary_roundtrip"
+    "checkpoint_header repartition_layout router_distribution latency_report bench_outcome_mix crc32c_check wal_binary_roundtrip "
+    "mvcc_restore kv_clear tx_acknowledged tx_expired finalize_resent routed_tasks matched_responses value_bytes merged_counters "
+    "measured_samples repartition_headers largest_applied"
 ).split()
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: globals()[name] for name in _NAMES}
