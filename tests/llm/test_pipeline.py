@@ -103,3 +103,23 @@ def test_run_gives_the_last_stage(spark, results):
     made = corpus_pipeline.run(spark, SF)
     tokens = lambda rows: sum(r.length for r in rows)
     assert tokens(made.collect()) == tokens(results["packing"][1]) and os.path.isdir(SF)
+
+
+def test_stages_on_odd_rows(spark, docs):
+    """Nulls in every column, empty, repeated and long texts, clashing columns, no rows."""
+    texts = [None, "", "one same text of some words", "one same text of some words", "long words here " * 20_000, "\n\n"]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(2, texts[2]), (None, None), (None, "a text without an id")]
+    odd = docs(*rows).selectExpr("doc_id", "text", "nullif(lang, 'en') AS lang", "CAST(NULL AS STRING) AS source", "n_chars", "1 AS overlaps", "2 AS n_dropped", "3 AS label", "4 AS score", "5 AS node")
+    left = odd
+    for name, stage in corpus_pipeline.STAGES:
+        after = materialize(stage(spark, left, SF), f"odd-{name}")
+        assert stage(spark, odd.limit(0), SF).count() == 0
+        if name == "packing":
+            assert {(r.start, r.length, r.doc_tokens) for r in after.where("doc_id = 0").collect()} <= {(0, 1, 1)}
+            assert after.agg({"length": "sum"}).head()[0] > 20_000
+        else:
+            assert after.columns == odd.columns and {r.n_dropped for r in after.collect()} == {2}
+            if name in ("line_dedup", "decontamination"):
+                assert after.count() == left.count()
+            left = after
+    assert left.where("doc_id = 3").count() == 0 and left.where("doc_id = 2").count() == 2 and left.where("doc_id IS NULL").count() == 2
