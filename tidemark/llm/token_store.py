@@ -17,14 +17,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm._common import tidied, whole_text
-from tidemark.llm.mixing_coder import BLOCK, decode_blocks, encode_blocks
+from tidemark.llm.block_coder import decoded, encoded
+from tidemark.llm.mixing_coder import BLOCK
 from tidemark.llm.tokens import encoder
 
-#: Blocks that a task codes side by side.
+#: Blocks that a task holds side by side.
 LANES = 2048
 
 STORE_SCHEMA = "file bigint, block bigint, n_ids bigint, continues boolean, doc_ids array<bigint>, counts array<bigint>, payload binary"
-_STORE_TYPES = [("file", pa.int64()), ("block", pa.int64()), ("n_ids", pa.int64()), ("continues", pa.bool_()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("payload", pa.binary())]
+_RAW_SCHEMA = STORE_SCHEMA.replace("payload", "ids")
+_STORE_TYPES = [("file", pa.int64()), ("block", pa.int64()), ("n_ids", pa.int64()), ("continues", pa.bool_()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("ids", pa.binary())]
 
 
 class _Cutter:
@@ -63,8 +65,7 @@ def _writer(path: str, keeps_space: bool, end_id: int, lanes: int):
 
         def flush() -> pa.RecordBatch:
             blocks, cutter.full = cutter.full, []
-            coded = encode_blocks([b[0] for b in blocks])
-            rows = [(file, next(numbers), len(ids), continues, docs, counts, raw) for (ids, continues, docs, counts), raw in zip(blocks, coded, strict=True)]
+            rows = [(file, next(numbers), len(ids), continues, docs, counts, ids.tobytes()) for ids, continues, docs, counts in blocks]
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(_STORE_TYPES)], names=[n for n, _ in _STORE_TYPES])
 
         for batch in batches:
@@ -87,7 +88,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, keeps_space: b
     """
     read = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole_text().alias("text"))
     read = read.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    read.mapInArrow(_writer(tokenizer_path, keeps_space, end_id, lanes), STORE_SCHEMA).write.parquet(path)
+    blocks = read.mapInArrow(_writer(tokenizer_path, keeps_space, end_id, lanes), _RAW_SCHEMA)
+    blocks.withColumns({"payload": encoded(docs.sparkSession, F.col("ids"))}).drop("ids").write.parquet(path)
 
 
 def _reader(lanes: int):
@@ -95,46 +97,42 @@ def _reader(lanes: int):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come by file and block; a document's parts lie in blocks that follow each other."""
         names, types = ["doc_id", "file", "begin", "ids"], [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-        waiting: list[dict] = []
-        parts: list[bytes] = []
+        parts: list[memoryview] = []
         file, at, doc = None, 0, None
+        rows: list[list] = [[], [], [], []]
+
+        def finish() -> None:
+            nonlocal at
+            ids = b"".join(parts)
+            parts.clear()
+            for column, value in zip(rows, (doc, file, at, ids), strict=True):
+                column.append(value)
+            at += len(ids) // 4
 
         def settle() -> pa.RecordBatch:
-            nonlocal file, at, doc, parts
-            rows: list[list] = [[], [], [], []]
-
-            def finish() -> None:
-                nonlocal at, parts
-                ids = b"".join(parts)
-                for column, value in zip(rows, (doc, file, at, ids), strict=True):
-                    column.append(value)
-                at += len(ids) // 4
-                parts = []
-
-            for row, ids in zip(waiting, decode_blocks([r["payload"] for r in waiting]), strict=True):
-                if len(ids) != row["n_ids"] or sum(row["counts"]) != len(ids):
-                    raise ValueError("a block doesn't hold the ids that its row tells of")
-                place = 0
-                for i, (doc_id, n) in enumerate(zip(row["doc_ids"], row["counts"], strict=True)):
-                    if parts and (i or not row["continues"]):
-                        finish()
-                    if row["file"] != file:
-                        file, at = row["file"], 0
-                    doc = doc_id
-                    parts.append(ids[place : place + n].astype("<u4").tobytes())
-                    place += n
-            waiting.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], names=names)
+            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], names=names)
+            for column in rows:
+                column.clear()
+            return out
 
         for batch in batches:
-            for row in batch.to_pylist():
-                waiting.append(row)
-                if len(waiting) >= lanes:
-                    yield settle()
-        yield settle()
+            for i in range(0, len(batch), lanes):
+                for row in batch.slice(i, lanes).to_pylist():
+                    ids, place = memoryview(row["ids"]), 0
+                    if len(ids) != 4 * row["n_ids"] or sum(row["counts"]) != row["n_ids"]:
+                        raise ValueError("a block doesn't hold the ids that its row tells of")
+                    for k, (doc_id, n) in enumerate(zip(row["doc_ids"], row["counts"], strict=True)):
+                        if parts and (k or not row["continues"]):
+                            finish()
+                        if row["file"] != file:
+                            file, at = row["file"], 0
+                        doc = doc_id
+                        parts.append(ids[4 * place : 4 * (place + n)])
+                        place += n
+                yield settle()
         if parts:
-            ids = b"".join(parts)
-            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((doc, file, at, ids), types, strict=True)], names=names)
+            finish()
+            yield settle()
 
     return read
 
@@ -149,5 +147,6 @@ def read_tokens(spark: SparkSession, path: str, lanes: int = LANES) -> DataFrame
     sizes = {r["file"]: r["n"] for r in store.groupBy("file").agg(F.sum("n_ids").alias("n")).collect()}
     before = dict(zip(sorted(sizes), itertools.accumulate((sizes[f] for f in sorted(sizes)), initial=0), strict=False))
     offsets = spark.createDataFrame(list(before.items()) or [(0, 0)], "file bigint, before bigint")
-    found = store.repartition("file").sortWithinPartitions("file", "block").mapInArrow(_reader(lanes), "doc_id bigint, file bigint, begin bigint, ids binary")
+    blocks = store.repartition("file").sortWithinPartitions("file", "block").withColumns({"ids": decoded(spark, F.col("payload"))}).drop("payload")
+    found = blocks.mapInArrow(_reader(lanes), "doc_id bigint, file bigint, begin bigint, ids binary")
     return found.join(F.broadcast(offsets), "file").select("doc_id", (F.col("before") + F.col("begin")).alias("start"), "ids")

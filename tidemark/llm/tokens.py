@@ -17,6 +17,8 @@ WORDS_HELD = 500_000
 #: Its blank is written Ġ, as in all byte-level vocabularies (fixed value).
 _BLANK = chr(288)
 _SPACED = re.compile(f" ?[^{UNICODE_SPACE}]+|[{UNICODE_SPACE}]+(?![^{UNICODE_SPACE}])|[{UNICODE_SPACE}]+")
+#: Where a text holds none of these, and at most one of blank and line feed at its end, each of both begins a piece, and a line feed ends it, too.
+_NOT_SIMPLE = ("\0", *(c for c in UNICODE_SPACE if c not in " \n"), *(a + b + c for a in " \n" for b in " \n" for c in " \n"))
 
 #: How both vocabularies cut a piece of printable ASCII and Latin letters (fixed values); the second lower-cases it and takes digits one by one.
 _LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
@@ -35,6 +37,13 @@ def _byte_letters() -> str:
     return "".join(chr(shown.get(b, b)) for b in range(256))
 
 
+def _spaced(text: str) -> list[str]:
+    """The matches of ``_SPACED``, and empty strings; simple texts without the regular expression."""
+    if any(c in text for c in _NOT_SIMPLE) or not text[-2:].strip(" \n"):
+        return _SPACED.findall(text)
+    return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+
+
 _LETTERS = _byte_letters()
 _ids_of = attrgetter("id")
 
@@ -55,8 +64,9 @@ class WordEncoder:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._specials = [t.content.lower() for t in self._tokenizer.get_added_tokens_decoder().values()]
-        self._pieces = _SPACED.findall if keeps_space else split_words
+        self._pieces = _spaced if keeps_space else split_words
         self._model = self._tokenizer.model
+        self._model._resize_cache(0)  # words that come again are held here
         self._keeps_space, self._cut = keeps_space, _PLAIN_CUTS[keeps_space].findall
         self._held: dict[str, bytes] = {}
         REMEMBERED.append(self._held)
@@ -96,7 +106,15 @@ class WordEncoder:
         tokenize = self._model.tokenize
         if piece.isalpha():
             return _packed(map(_ids_of, tokenize(_shown(piece))))
-        return _packed([t.id for part in self._cut(piece) for t in tokenize(_shown(part))])
+        held, out = self._held, b""
+        for part in self._cut(piece):
+            ids = held.get(part)
+            if ids is None:
+                ids = _packed(map(_ids_of, tokenize(_shown(part))))
+                if self._keeps_space:
+                    held[part] = ids
+            out += ids
+        return out
 
 
 def _shown(part: str) -> str:
